@@ -11,12 +11,15 @@ documents that share such a shingle are ever compared.
    not with each other. Verified pairs are joined into components. A shingle whose
    documents lie in one component is done; for the others another leader is tried.
 3. What is left, documents of different components that share a shingle, is compared
-   pair by pair, so no link between components is lost.
+   each with each, so no link between components is lost: as pairs where few share
+   it, else block by block, in the tree of one block with the documents of another.
 
 Comparing is done in prefix trees: the documents to be compared with one leader are
 stored as paths of their ordered sets, common beginnings once. The walk carries the
 overlap with the leader so far and turns back where it plus what may still come,
-bounded by the remaining lengths, is less than the least overlap needed.
+bounded by the remaining lengths, is less than the least overlap needed. It is done
+twice: over the sets' beginnings, which are at hand and settle most pairs, and over
+the whole sets of what is left, which are built again from the texts.
 
 Shingles are 63-bit hashes; a shared hash of different shingles within one compared
 pair is the only way to a wrong count. Components come from alternating large-star
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,7 @@ from tallyframe.storage import stage
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FREQUENT = np.uint64(1 << 63)
-WORD_CACHE = 500_000
+WORD_CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -55,9 +59,11 @@ class Settings:
     words: int = 5
     percent: int = 80
     star_rounds: int = 2
-    max_frequent: int = 65_536
-    frequent_in_task: int = 4
+    max_frequent: int = 1_000_000
+    frequent_in_task: int = 2
     group_members: int = 64
+    group_pairs: int = 32
+    group_block: int = 256
 
 
 # Shingles
@@ -116,7 +122,7 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 class Tree:
-    """Sets as paths; a node holds a run of shingles, the number of them above it, and the sizes of sets below."""
+    """Sets as paths of their beginnings; a node holds a run of shingles and the least and most size of sets below."""
 
     __slots__ = ("run", "depth", "least", "most", "children", "members")
 
@@ -126,18 +132,22 @@ class Tree:
         self.children: dict[int, Tree] = {}
         self.members: list[tuple[int, int]] = []
 
-    def add(self, key: int, found: np.ndarray) -> None:
-        node, at, n = self, 0, len(found)
+    def _hold(self, key: int, size: int) -> None:
+        self.least, self.most = min(self.least, size), max(self.most, size)
+
+    def add(self, key: int, found: np.ndarray, size: int) -> None:
+        """found: the first shingles, in order, of a set of that size; all of them if it is as long."""
+        node, at = self, 0
         while True:
-            node.least, node.most = min(node.least, n), max(node.most, n)
-            if at == n:
-                node.members.append((key, n))
+            node._hold(key, size)
+            if at == len(found):
+                node.members.append((key, size))
                 return
             child = node.children.get(int(found[at]))
             if child is None:
                 child = node.children[int(found[at])] = Tree(found[at:], at)
-                child.least = child.most = n
-                child.members.append((key, n))
+                child._hold(key, size)
+                child.members.append((key, size))
                 return
             rest = found[at : at + len(child.run)]
             differ = np.flatnonzero(child.run[: len(rest)] != rest)
@@ -151,18 +161,33 @@ class Tree:
                 child = upper
             node, at = child, at + same
 
-    def linked(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Keys of the sets that link with the probe."""
-        found, size, stack = [], len(probe), [(c, 0) for c in self.children.values()]
+    def below(self) -> Iterator[tuple[int, int]]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield from node.members
+            stack += node.children.values()
+
+    def linked(self, probe: np.ndarray, size: int, percent: int) -> list[int]:
+        """Keys of the sets that link with the probe, as far as the beginnings tell; of whole sets exactly those."""
+        if not len(probe):
+            return []
+        found, stack = [], [(c, 0) for c in self.children.values()]
         while stack:
             node, overlap = stack.pop()
-            k = np.searchsorted(probe, node.run)
-            overlap += int((probe[np.minimum(k, size - 1)] == node.run).sum()) if size else 0
-            depth = node.depth + len(node.run)
-            still = min(size - int(np.searchsorted(probe, node.run[-1], "right")), node.most - depth)
-            if overlap + still < needed(size, node.least, percent):
+            # shingles beyond the probe's last one are neither known to be in its set nor not to be
+            known = node.run[: int(np.searchsorted(node.run, probe[-1], "right"))]
+            if len(known):
+                k = np.searchsorted(probe, known)
+                overlap += int((probe[k] == known).sum())
+            seen = node.depth + len(known)
+            passed = int(np.searchsorted(probe, node.run[-1], "right"))
+            if overlap + min(size - passed, node.most - seen) < needed(size, node.least, percent):
                 continue
-            found += [key for key, n in node.members if overlap >= needed(size, n, percent)]
+            if len(known) < len(node.run):
+                found += [key for key, n in node.below() if overlap + min(size - passed, n - seen) >= needed(size, n, percent)]
+                continue
+            found += [key for key, n in node.members if overlap + min(size - passed, n - seen) >= needed(size, n, percent)]
             stack += [(c, overlap) for c in node.children.values()]
         return found
 
@@ -215,7 +240,7 @@ def _frequent(docs: DataFrame, settings: Settings, text: str) -> tuple[np.ndarra
                 found = shingles(t, n)
                 held.append(found)
                 size += len(found)
-                if size > 6_000_000:
+                if size > 4_000_000:
                     yield from flush()
         yield from flush()
 
@@ -260,11 +285,24 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
 
     classes = stage(sets.filter("n > 0").groupBy("sign").agg(F.min("row").alias("class"), F.min("doc_id").alias("class_id")), "classes")
     firsts = stage(sets.join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class"), "class-sets")
+    begun = firsts.select("class", "n", F.col("prefix").alias("found"))
     spread = firsts.select("class", "n", F.explode("prefix").alias("s"))
     shared_by = stage(spread.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s"), "shared-shingles")
     occurs = stage(spread.join(shared_by, "s"), "occurrences")
-    wanted = firsts.join(occurs.select("class").distinct(), "class", "left_semi").select("class", "key", "sign")
-    ordered = _ordered_sets(docs, stage(wanted, "wanted"), settings, doc_id, text, shared)
+    # of an original and its edited copies the original shares most of what it has: it makes the best leader
+    known = occurs.groupBy("class").agg((-F.count(F.lit(1)) / F.max("n")).alias("alone"))
+    occurs = stage(occurs.join(known, "class"), "occurrences")
+
+    whole: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, as edges (a, b)."""
+        near = stage(_compared(pairs, begun, settings), "near-pairs").select(F.col("a").alias("lead"), F.col("b").alias("class"))
+        wanted = near.select("class").unionByName(near.select(F.col("lead").alias("class"))).distinct()
+        for w in whole:
+            wanted = wanted.join(w.select("class"), "class", "left_anti")
+        whole.append(_whole_sets(docs, stage(firsts.join(wanted, "class", "left_semi").select("class", "key", "sign"), "wanted"), settings, doc_id, text, shared))
+        return stage(_compared(near, reduce(DataFrame.unionByName, whole), settings), "links")
 
     links, tested, roots = None, None, None
     for turn in range(settings.star_rounds):
@@ -273,15 +311,21 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
             pairs = pairs.join(tested, ["lead", "class"], "left_anti")
         pairs = stage(pairs, "star-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stage(_verified(pairs, ordered, settings), "links")
+        found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         roots = stage(components(links), "roots")
     left = stage(_open(occurs, roots), "open")
-    one = left.select("s", F.col("class").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = one.join(left, "s").filter((F.col("other") != F.col("root")) & (F.col("lead") < F.col("class")) & _sizes_fit(percent)).select("lead", "class").distinct()
+    # of shingles that the very same documents share one is enough
+    sizes = left.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+    sizes = stage(sizes.groupBy("k", "x", "y").agg(F.min("s").alias("s")).select("s", "k"), "group-sizes")
+    few = left.join(sizes.filter(F.col("k") <= settings.group_pairs), "s")
+    one = few.select("s", F.col("class").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = one.join(few.drop("k"), "s").filter((F.col("other") != F.col("root")) & (F.col("lead") < F.col("class")) & _sizes_fit(percent)).select("lead", "class").distinct()
+    many = left.join(sizes.filter(F.col("k") > settings.group_pairs), "s")
+    rest = rest.unionByName(_group_pairs(many, begun, settings)).distinct()
     if tested is not None:
         rest = rest.join(tested, ["lead", "class"], "left_anti")
-    found = stage(_verified(stage(rest, "rest-pairs"), ordered, settings), "links")
+    found = verified(stage(rest, "rest-pairs"))
     if found.limit(1).count():
         roots = stage(components(found if links is None else links.unionByName(found)), "roots")
 
@@ -325,17 +369,48 @@ def _open(occurs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return own.join(mixed, "s")
 
 
+def _group_pairs(many: DataFrame, begun: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (lead, class) of different components from shingles that many documents share, as far as the beginnings tell.
+
+    A shingle's documents are dealt to blocks; each pair of blocks is a task's work, so no group has a bound.
+    """
+    percent = settings.percent
+    blocks = F.ceil(F.col("k") / settings.group_block).cast("int")
+    own = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).select("s", "class", "root", "block", "blocks")
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.select("s", "class", "root", "block", met.alias("with_")).select("s", "class", "root", "block", F.least("block", "with_").alias("i"), F.greatest("block", "with_").alias("j"))
+    dealt = stage(dealt, "blocks").join(begun, "class").select("s", "i", "j", "class", "root", "block", "n", "found")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("found").chunk(0)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint64)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("class", "root", "block", "n")), strict=True))
+        low, alike = table.column("i")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        tree, root_of = Tree(flat[:0], 0), {c: r for c, r, _, _ in rows}
+        for i, (c, _, block, n) in enumerate(rows):
+            if block == low:
+                tree.add(c, flat[ends[i] : ends[i + 1]], n)
+        hits = set()
+        for i, (c, root, block, n) in enumerate(rows):
+            if alike or block != low:
+                hits |= {(min(c, other), max(c, other)) for other in tree.linked(flat[ends[i] : ends[i + 1]], n, percent) if root_of[other] != root}
+        return pa.table({"lead": pa.array([a for a, _ in hits], pa.int64()), "class": pa.array([b for _, b in hits], pa.int64())})
+
+    return dealt.groupBy("s", "i", "j").applyInArrow(compare, "lead long, class long")
+
+
 def _star_pairs(occurs: DataFrame, roots: DataFrame | None, percent: int, turn: int) -> DataFrame:
     """Each shingle's documents beside its leader of this turn, where they are not in one component yet."""
     own = _with_roots(occurs, None) if roots is None else stage(_open(occurs, roots), "open")
-    choice = F.struct("class") if turn == 0 else F.struct(F.xxhash64("class", F.lit(turn)), "class")
+    choice = F.struct("alone", "class") if turn == 0 else F.struct(F.xxhash64("root", F.lit(turn)), "alone", "class")
     lead = own.groupBy("s").agg(F.min_by(F.struct(F.col("class").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other")), choice).alias("x")).select("s", "x.*")
     beside = own.join(lead, "s").filter((F.col("root") != F.col("other")) & _sizes_fit(percent))
     return beside.select(F.least("lead", "class").alias("a"), F.greatest("lead", "class").alias("b")).select(F.col("a").alias("lead"), F.col("b").alias("class")).distinct()
 
 
-def _ordered_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id: str, text: str, shared) -> DataFrame:
-    """class and its ordered set for the wanted (class, key, sign), built anew from their texts."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id: str, text: str, shared) -> DataFrame:
+    """class, n and its whole ordered set for the wanted (class, key, sign), built anew from their texts."""
     n = settings.words
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,42 +419,41 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id
         frequent, places = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part, classes, found = batch.slice(i, 256), [], []
+                part, classes, sets = batch.slice(i, 256), [], [np.zeros(0, np.uint64)]
                 for c, sign, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    raw = in_order(shingles(t, n), frequent, places).tobytes()
-                    if xxhash.xxh3_128_digest(raw) == sign:
+                    found = in_order(shingles(t, n), frequent, places)
+                    if xxhash.xxh3_128_digest(found.tobytes()) == sign:
                         classes.append(c)
-                        found.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(found, pa.binary())], ["class", "found"])
+                        sets.append(found)
+                sizes = [len(x) for x in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes[1:], pa.int64()), lists], ["class", "n", "found"])
 
     texts = sized_join(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("t")), wanted, "key", "inner").select("class", "sign", "t")
-    return stage(texts.mapInArrow(build, "class long, found binary").dropDuplicates(["class"]), "ordered-sets")
+    return stage(texts.mapInArrow(build, "class long, n long, found array<long>").dropDuplicates(["class"]), "whole-sets")
 
 
-def _verified(pairs: DataFrame, ordered: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (lead, class) that link, as edges (a, b)."""
+def _compared(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (lead, class) that link, as far as the sets (class, n, found) tell, as edges (a, b)."""
     percent = settings.percent
     load = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("k"))
     dealt = pairs.join(load, "lead").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("k") / settings.group_members)))
     dealt = stage(dealt.select("lead", "part", "class"), "dealt")
-    members = dealt.join(ordered, "class")
-    leads = dealt.select("lead", "part").distinct().join(ordered.withColumnRenamed("class", "lead"), "lead").select(F.lit(None).cast("long").alias("class"), "lead", "part", "found")
+    members = dealt.join(sets, "class").select("lead", "part", "class", "n", "found")
+    leads = dealt.select("lead", "part").distinct().join(sets.withColumnRenamed("class", "lead"), "lead").select("lead", "part", F.lit(None).cast("long").alias("class"), "n", "found")
 
     def compare(table: pa.Table) -> pa.Table:
-        tree, probe = Tree(np.zeros(0, np.uint64), 0), None
-        for c, found in zip(table.column("class").to_pylist(), table.column("found").to_pylist(), strict=True):
+        table = table.combine_chunks()
+        lists = table.column("found").chunk(0)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint64)
+        tree, probes = Tree(flat[:0], 0), []
+        for i, (c, size) in enumerate(zip(table.column("class").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            found = flat[ends[i] : ends[i + 1]]
             if c is None:
-                probe = np.frombuffer(found, np.uint64)
+                probes.append((found, size))
             else:
-                tree.add(c, np.frombuffer(found, np.uint64))
-        hits = tree.linked(probe, percent) if probe is not None else []
+                tree.add(c, found, size)
+        hits = [h for found, size in probes for h in tree.linked(found, size, percent)]
         return pa.table({"a": pa.array([table.column("lead")[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
-    return members.select("class", "lead", "part", "found").unionByName(leads).groupBy("lead", "part").applyInArrow(compare, "a long, b long")
-
-
-def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one whose id names it; of rows with one id one stays."""
-    found = near_duplicates(docs, settings, doc_id, text)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc_id)).distinct()
-    return sized_join(docs.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]), stage(keep, "kept"), doc_id, "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
+    return members.unionByName(leads).groupBy("lead", "part").applyInArrow(compare, "a long, b long")
