@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.llm.text import SPACE, WORD, words
+from tallyframe.storage import stage
 
 #: Character classes besides white space and everything else, as patterns.
-CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[#*$%&|<>]", r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D#*$%&|<>]")
+CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[#*$%&|<>]", r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]""")
 POOLED = ""
 INDEX_BITS = 24
 
@@ -38,6 +39,7 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 32
+    common_word_chars: int = 6
     max_languages: int = 64
     min_class_chars: int = 200
     max_class_distance: float = 0.22
@@ -63,7 +65,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
 
     Class shares are medians over documents of at least min_class_chars, in
     thousandths, so that a minority of junk does not move them; a common word
-    holds a letter.
+    holds a letter and has at most common_word_chars characters.
     """
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang), F.lit(POOLED)).alias("g"))
     sizes = docs.filter(F.col("g") != POOLED).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -71,16 +73,22 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     own = F.when(F.col("g").isin(known), F.col("g")).otherwise(F.lit(POOLED)) if known else F.lit(POOLED)
     docs = docs.withColumn("g", own)
 
-    whole = F.length("t").cast("long")
+    # One pass: the words up to common_word_chars, all longer ones as one, and the shares of classes as tags that hold a space
+    whole = F.length("t")
     n_space = whole - F.length(F.regexp_replace("t", SPACE, ""))
-    counts = docs.filter(whole >= rules.min_class_chars).select("g", whole.alias("n"), *(c.alias(f"c{i}") for i, c in enumerate([*(_count(F.col("t"), p) for p in CLASSES), n_space])))
-    rest = F.col("n") - sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1)), F.lit(0))
-    bins = F.array(*(F.floor(F.lit(1000) * c / F.col("n") + 0.5) for c in [*(F.col(f"c{i}") for i in range(len(CLASSES) + 1)), rest]))
-    binned = counts.select("g", F.posexplode(bins).alias("c", "bin")).groupBy("g", "c", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
-    medians = {g: [_median([(r["bin"], r["n"]) for r in binned if r["c"] == c and g in (POOLED, r["g"])]) for c in range(len(CLASSES) + 2)] for g in [POOLED, *known]}
+    counts = docs.select("g", "t", whole.alias("n"), F.array(*(_count(F.col("t"), p) for p in CLASSES), n_space.cast("long")).alias("c"))
+    rest = F.col("n") - F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
+    bins = F.transform(F.concat("c", F.array(rest)), lambda x: F.floor(F.lit(1000) * x / F.col("n") + 0.5))
+    tags = F.transform(bins, lambda x, i: F.concat_ws(" ", i.cast("string"), x.cast("string")))
+    said = counts.select("g", F.explode(F.concat(words(F.col("t")), F.when(F.col("n") >= rules.min_class_chars, tags).otherwise(F.array().cast("array<string>")))).alias("w"))
+    short = F.when(F.col("w").contains(" ") | (F.length("w") <= rules.common_word_chars), F.col("w")).otherwise(F.lit(""))
+    counted = stage(said.groupBy("g", short.alias("w")).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+    binned = [(r["g"], *map(int, r["w"].split(" ")), r["n"]) for r in counted.filter(F.col("w").contains(" ")).collect()]
+    medians = {g: [_median([(b, n) for h, c, b, n in binned if c == k and g in (POOLED, h)]) for k in range(len(CLASSES) + 2)] for g in [POOLED, *known]}
     classes = {g: [x / max(1, sum(m)) for x in m] for g, m in medians.items()}
 
-    counted = docs.select("g", F.explode(words(F.col("t"))).alias("w")).groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.filter(~F.col("w").contains(" "))
     totals = {r["g"]: r["n"] for r in counted.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     pooled = counted.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("g"), "w", "n")
     ranked: dict[str, list[str]] = {g: [] for g in [POOLED, *known]}

@@ -105,7 +105,7 @@ WITH docs AS (
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS upper_,
         length(t) - length(regexp_replace(t, '\p{{Nd}}', '', 'g')) AS digits,
-        length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D#*$%&|<>]', '', 'g')) AS punct
+        length(t) - length(regexp_replace(t, '[!"''()+,\-./:;=?@\[\\\]^_`{{}}~]', '', 'g')) AS punct
     FROM docs
 ), lines AS (
     SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
@@ -132,7 +132,7 @@ WITH docs AS (
 ), totals AS (
     SELECT g, sum(n) AS total FROM (SELECT g, n FROM counted WHERE g <> '' UNION ALL SELECT '' AS g, n FROM counted) GROUP BY g
 ), best AS (
-    SELECT g, w, n FROM (SELECT g, w, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, w) AS r FROM (SELECT g, w, n FROM counted WHERE g <> '' UNION ALL SELECT '' AS g, w, sum(n) AS n FROM counted GROUP BY w) WHERE regexp_matches(w, '\p{{L}}')) WHERE r <= 32
+    SELECT g, w, n FROM (SELECT g, w, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, w) AS r FROM (SELECT g, w, n FROM counted WHERE g <> '' UNION ALL SELECT '' AS g, w, sum(n) AS n FROM counted GROUP BY w) WHERE regexp_matches(w, '\p{{L}}') AND length(w) <= 6) WHERE r <= 32
 ), word_ref AS (
     SELECT g, w, n / total AS q FROM best JOIN totals USING (g)
 ), hits AS (
