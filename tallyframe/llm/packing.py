@@ -239,8 +239,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(i, 512), []
+            for i in range(0, batch.num_rows, 2048):
+                part, rows = batch.slice(i, 2048), []
                 for d, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     cuts = [0, *range(len(ids) % step or step, len(ids), step), len(ids)]

@@ -49,7 +49,7 @@ class Damaged(Exception):
 class Writer:
     """Frames of one file, then its tables on close."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         import zstandard
 
         self.out, self.z = out, zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
@@ -113,7 +113,7 @@ def open_file(path: str) -> Reader:
     return Reader(system.open_input_file(inner))
 
 
-def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, doc_id: str = "doc_id", text: str = "text", level: int = 3) -> DataFrame:
+def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, doc_id: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
     """Encode and write all documents; returns the manifest (shard, path, n_docs, n_ids), shards in document order."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")
@@ -125,8 +125,8 @@ def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "b
         encoder, shard = Encoder.of(vocabulary), TaskContext.get().partitionId()
         path, writer, n_ids, out = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.zst", None, 0, None
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 for d, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     if writer is None:
                         system, inner = fs.FileSystem.from_uri(path)

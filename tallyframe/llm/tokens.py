@@ -9,13 +9,18 @@ white space are encoded whole. Either way the ids are those of one encode call.
 from __future__ import annotations
 
 import re
+import string
 import struct
 from itertools import chain
 
-#: Pieces kept by a worker, about 200 bytes each.
+import numpy as np
+
+#: Pieces kept by a worker in each of two generations, about 200 bytes each.
 CACHE_PIECES = 400_000
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACED = ("  ", " \n", "\n ", "\n\n")
+#: A run of these after a word of letters is a token run of its own.
+PUNCTUATION = string.punctuation
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -38,8 +43,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -52,11 +59,48 @@ class Encoder:
         found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._encode([p if p[:1] == "\n" else before + p for p in new]), strict=True))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space. Words are joined by a newline, which is one id by itself, and cut apart again."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.newline)
+            raw, begins, ends = ids.tobytes(), (np.r_[0, ends + 1] * 4).tolist(), (np.r_[ends, len(ids)] * 4).tolist()
+            if len(begins) != len(some):
+                return self._encode([" " + w for w in words])
+            out += [raw[a:b] for a, b in zip(begins, ends, strict=True)]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make inner hold all pieces: from the older generation, from a known word and its closing punctuation, or encoded anew."""
+        if len(self.inner) > CACHE_PIECES:
+            self.older, self.inner, self.tails = self.inner, {}, {}
+        known, older, tails = self.inner, self.older, self.tails
+        new = []
+        for p in pieces:
+            if p not in known:
+                if (ids := older.get(p)) is not None:
+                    known[p] = ids
+                else:
+                    new.append(p)
+        lines = [p for p in new if "\n" in p or not p]
+        known.update(zip(lines, self._encode([p if p[:1] == "\n" else " " + p for p in lines]), strict=True))
+        cut, words, ends = [], set(), set()
+        for p in new:
+            if "\n" not in p and p:
+                word = p.rstrip(PUNCTUATION)
+                if len(word) < len(p) and word.isalpha():
+                    cut.append((p, word, p[len(word) :]))
+                    words.add(word)
+                    ends.add(p[len(word) :])
+                else:
+                    words.add(p)
+        words = [w for w in words if w not in known]
+        known.update(zip(words, self._words(words), strict=True))
+        ends = [e for e in ends if e not in tails]
+        tails.update(zip(ends, self._encode(ends), strict=True))
+        known.update((p, known[w] + tails[e]) for p, w, e in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """NULL counts as empty."""
@@ -66,9 +110,8 @@ class Encoder:
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         cut = {i: texts[i].replace("\n", " \n").split(" ") for i in range(len(texts)) if out[i] is None}
-        self._learn(self.first, {p[0] for p in cut.values()}, "")
-        self._learn(self.inner, set(chain.from_iterable(p[1:] for p in cut.values())), " ")
+        self._learn(set(chain.from_iterable(p[1:] for p in cut.values())))
         at = self.inner.__getitem__
-        for i, pieces in cut.items():
-            out[i] = self.first[pieces[0]] + b"".join(map(at, pieces[1:]))
+        for (i, pieces), first in zip(cut.items(), self._encode([p[0] for p in cut.values()]), strict=True):
+            out[i] = first + b"".join(map(at, pieces[1:]))
         return out
