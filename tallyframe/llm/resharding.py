@@ -34,6 +34,7 @@ class Layout:
     blocks: int = 256
     docs_per_block: int = 100_000
     writers: int = 8
+    writer_bytes: int = 128 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -151,7 +152,8 @@ def reshard(docs: DataFrame, layout: Layout = Layout(), folder: str | None = Non
         offsets.append((j, o, b, at[j]))
         at[j] += n
     #: blocks are whole in a writer's part, so slots need no further shuffle
-    dealt = inside.unionByName(on_border).drop("to", "first", "stretches").withColumn("writer", F.pmod("block", F.lit(layout.writers)))
+    writers = max(layout.writers, sum(s for s, _ in per.values()) // (layout.new_shards * layout.writer_bytes))
+    dealt = inside.unionByName(on_border).drop("to", "first", "stretches").withColumn("writer", F.pmod("block", F.lit(writers)))
     dealt = dealt.join(F.broadcast(spark.createDataFrame(offsets, "shard int, old int, block int, base long")), ["shard", "old", "block"]).repartition("shard", "writer")
     order = Window.partitionBy("shard", "writer", "old", "block").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
     placed = dealt.withColumn("slot", (F.col("base") + F.row_number().over(order) - 1).cast("long"))
