@@ -284,14 +284,18 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
     sets = stage(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     classes = stage(sets.filter("n > 0").groupBy("sign").agg(F.min("row").alias("class"), F.min("doc_id").alias("class_id")), "classes")
-    firsts = stage(sets.join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class"), "class-sets")
-    begun = firsts.select("class", "n", F.col("prefix").alias("found"))
-    spread = firsts.select("class", "n", F.explode("prefix").alias("s"))
+    member = stage(sets.drop("prefix").join(classes, "sign", "left"), "members")
+    repeats = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.lit(True).alias("repeated")), "repeats")
+    begun = _of_classes(sets, member.filter("row <> class").select("row"))
+    spread = begun.select("class", "n", F.explode("found").alias("s"))
     shared_by = stage(spread.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s"), "shared-shingles")
     occurs = stage(spread.join(shared_by, "s"), "occurrences")
     # of an original and its edited copies the original shares most of what it has: it makes the best leader
     known = occurs.groupBy("class").agg((-F.count(F.lit(1)) / F.max("n")).alias("alone"))
-    occurs = stage(occurs.join(known, "class"), "occurrences")
+    # of shingles that the very same documents share one is enough
+    same = occurs.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("x"))
+    same = stage(same.groupBy("k", "low", "high", "x").agg(F.min("s").alias("s")).select("s"), "shared-shingles")
+    occurs = stage(sized_join(occurs, same, "s", "inner").join(known, "class"), "occurrences")
 
     whole: list[DataFrame] = []
 
@@ -301,7 +305,9 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
         wanted = near.select("class").unionByName(near.select(F.col("lead").alias("class"))).distinct()
         for w in whole:
             wanted = wanted.join(w.select("class"), "class", "left_anti")
-        whole.append(_whole_sets(docs, stage(firsts.join(wanted, "class", "left_semi").select("class", "key", "sign"), "wanted"), settings, doc_id, text, shared))
+        wanted = sized_join(member.filter("row = class").select("class", "key", "sign"), stage(wanted, "wanted"), "class", "left_semi")
+        wanted = stage(sized_join(wanted, repeats, "key", "left"), "wanted")
+        whole.append(_whole_sets(docs, wanted, settings, doc_id, text, shared))
         return stage(_compared(near, reduce(DataFrame.unionByName, whole), settings), "links")
 
     links, tested, roots = None, None, None
@@ -315,9 +321,7 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
         links = found if links is None else links.unionByName(found)
         roots = stage(components(links), "roots")
     left = stage(_open(occurs, roots), "open")
-    # of shingles that the very same documents share one is enough
-    sizes = left.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
-    sizes = stage(sizes.groupBy("k", "x", "y").agg(F.min("s").alias("s")).select("s", "k"), "group-sizes")
+    sizes = stage(left.groupBy("s").agg(F.count(F.lit(1)).alias("k")), "group-sizes")
     few = left.join(sizes.filter(F.col("k") <= settings.group_pairs), "s")
     one = few.select("s", F.col("class").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other"))
     rest = one.join(few.drop("k"), "s").filter((F.col("other") != F.col("root")) & (F.col("lead") < F.col("class")) & _sizes_fit(percent)).select("lead", "class").distinct()
@@ -329,7 +333,7 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
     if found.limit(1).count():
         roots = stage(components(found if links is None else links.unionByName(found)), "roots")
 
-    member = sets.join(classes, "sign", "left").select("row", "key", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    member = member.select("row", "key", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     # a document without shingles is a component of its own
     return stage(_with_roots(member, roots).withColumn("root", F.coalesce("root", -F.col("row") - 1)).drop("class"), "grouped")
 
@@ -352,6 +356,13 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
     return out.filter("not repeated_").unionByName(out.filter("repeated_").dropDuplicates(["key_"])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _of_classes(sets: DataFrame, others: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """class, n, found: the first shingles of a member of each class. others: the rows that are not it, sent to all tasks if few."""
+    few = others.limit(limit + 1).count() <= limit
+    found = sets.filter("n > 0").join(F.broadcast(others) if few else others, "row", "left_anti").select(F.col("row").alias("class"), "n", F.col("prefix").alias("found"))
+    return found if few else stage(found, "class-sets")
+
+
 def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
 
@@ -359,7 +370,7 @@ def _sizes_fit(percent: int) -> Column:
 def _with_roots(occurs: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return occurs.withColumn("root", F.col("class"))
-    return occurs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return sized_join(occurs, roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
 def _open(occurs: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -410,7 +421,7 @@ def _star_pairs(occurs: DataFrame, roots: DataFrame | None, percent: int, turn:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id: str, text: str, shared) -> DataFrame:
-    """class, n and its whole ordered set for the wanted (class, key, sign), built anew from their texts."""
+    """class, n and its whole ordered set for the wanted (class, key, sign, repeated), built anew from their texts."""
     n = settings.words
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,18 +430,21 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id:
         frequent, places = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part, classes, sets = batch.slice(i, 256), [], [np.zeros(0, np.uint64)]
-                for c, sign, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                part, classes, repeats, sets = batch.slice(i, 256), [], [], [np.zeros(0, np.uint64)]
+                for c, sign, repeated, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     found = in_order(shingles(t, n), frequent, places)
                     if xxhash.xxh3_128_digest(found.tobytes()) == sign:
                         classes.append(c)
+                        repeats.append(bool(repeated))
                         sets.append(found)
                 sizes = [len(x) for x in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes[1:], pa.int64()), lists], ["class", "n", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(repeats, pa.bool_()), pa.array(sizes[1:], pa.int64()), lists], ["class", "repeated", "n", "found"])
 
-    texts = sized_join(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("t")), wanted, "key", "inner").select("class", "sign", "t")
-    return stage(texts.mapInArrow(build, "class long, n long, found array<long>").dropDuplicates(["class"]), "whole-sets")
+    texts = sized_join(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("t")), wanted, "key", "inner").select("class", "sign", "repeated", "t")
+    built = stage(texts.mapInArrow(build, "class long, repeated boolean, n long, found array<long>"), "whole-sets")
+    # only documents that are alike in id and text need a shuffle to leave one of them
+    return built.filter("not repeated").unionByName(built.filter("repeated").dropDuplicates(["class"])).drop("repeated")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -439,8 +453,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     load = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("k"))
     dealt = pairs.join(load, "lead").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("k") / settings.group_members)))
     dealt = stage(dealt.select("lead", "part", "class"), "dealt")
-    members = dealt.join(sets, "class").select("lead", "part", "class", "n", "found")
-    leads = dealt.select("lead", "part").distinct().join(sets.withColumnRenamed("class", "lead"), "lead").select("lead", "part", F.lit(None).cast("long").alias("class"), "n", "found")
+    leads = dealt.select(F.col("lead").alias("id"), "lead", "part", F.lit(None).cast("long").alias("class")).distinct()
+    roles = dealt.select(F.col("class").alias("id"), "lead", "part", "class").unionByName(leads)
+    rows = sized_join(sets.withColumnRenamed("class", "id"), roles, "id", "inner", 1_000_000)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -456,4 +471,4 @@ def _compared(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
         hits = [h for found, size in probes for h in tree.linked(found, size, percent)]
         return pa.table({"a": pa.array([table.column("lead")[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
-    return members.unionByName(leads).groupBy("lead", "part").applyInArrow(compare, "a long, b long")
+    return rows.select("lead", "part", "class", "n", "found").groupBy("lead", "part").applyInArrow(compare, "a long, b long")
