@@ -1,34 +1,45 @@
 """Cross-entropy difference scores from two matched bigram models.
 
 The target model counts the words of target documents, the background model those
-of all documents. Both use one vocabulary, the corpus's most frequent words (at
-most vocabulary_words, seen twice or more); all other words are one unknown word.
-Bigrams are counted in 2^bigram_bits hashed cells, so a model has the same size
-over any corpus while the counts in it cover every document. Background counts are
+of all documents. Both use one vocabulary, every word of the corpus that occurs
+min_count times or more; all other words are one unknown word. Background counts are
 scaled to the target's total, so that smoothing acts alike on both.
 
 A document's score is background loss minus target loss per word, in nats:
 positive when it reads more like the target. A text without words (NULL, empty)
 has no loss and score 0. Repeated rows score alike.
 
-What is gathered: word counts, combined before the shuffle; then the cells that
-each task has counted, summed by cell. The driver holds one vocabulary and one table.
+cross_entropy_difference counts every word and every (previous, word) pair of the
+corpus. The counts stay distributed: documents are cut into chunks, a chunk sends
+the keys it holds to the buckets they belong to, a bucket adds them up and answers
+each chunk with the counts of its own keys. Keys are 64-bit digests, of words and of
+pairs. Chunks and buckets have a fixed size and grow in number with the corpus; only
+totals reach the driver.
+
+fit and score hold one model in one process instead, for corpora small enough: at
+most vocabulary_words words, and bigrams in 2^bigram_bits hashed cells.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.text import sized_join, words
+from tallyframe.storage import stage
 
 START, UNKNOWN = 0, 1
+#: Words a chunk holds at least, and keys a bucket holds about.
+CHUNK_WORDS = 1 << 20
+BUCKET_KEYS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -132,5 +143,187 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, kind)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+class Codes(dict):
+    """Words by order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def digest(word: bytes) -> int:
+    """Never START or UNKNOWN."""
+    return max(2, int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    mixed = before * np.uint64(0x9E3779B97F4A7C15) + words * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def chunks_of(flagged: DataFrame) -> DataFrame:
+    """Documents (id_, t, target) in chunks: the ids, lengths and target flags, the digests of all words once, and each word's place in them."""
+    kind = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(flagged.schema["id_"].dataType)), T.StructField("distinct", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("lengths", "targets", "keys", "codes"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids, lengths, targets, codes, own, n = [], [], [], [], Codes(), 0
+
+        def chunk() -> pa.RecordBatch:
+            keys, place = np.unique(np.fromiter(map(digest, own), np.uint64, len(own)), return_inverse=True)
+            every = pa.concat_arrays(ids)
+            blobs = [pack(np.array(lengths)), pack(np.array(targets)), pack_sorted(keys), pack(place[np.concatenate(codes)])]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), listed, pa.array([len(keys)]), *(pa.array([b], pa.binary()) for b in blobs)], kind.names)
+
+        for batch in batches:
+            begin = 0
+            for i, (t, target) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = (t or "").encode("utf-8", "surrogatepass").split()
+                codes.append(np.fromiter(map(own.__getitem__, found), np.int64, len(found)))
+                lengths.append(len(found))
+                targets.append(target)
+                n += len(found) + 1
+                if n >= CHUNK_WORDS:
+                    ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                    yield chunk()
+                    begin, made, n = i + 1, made + 1, 0
+                    ids, lengths, targets, codes, own = [], [], [], [], Codes()
+            if begin < batch.num_rows:
+                ids.append(batch.column(0).slice(begin))
+        if lengths:
+            yield chunk()
+
+    return flagged.select("id_", "t", "target").mapInArrow(run, kind)
+
+
+SENT = "bucket long, chunk long, keys binary, target binary, background binary"
+ANSWER = "bucket long, chunk long, target binary, background binary"
+
+
+def send(chunk: int, keys: np.ndarray, target: np.ndarray, background: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their counts in a chunk, by the first bits of the key."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+    edges = [0, *map(int, cuts), len(keys)]
+    for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
+        if a < b:
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "chunk": chunk, "keys": pack_sorted(keys[a:b]), "target": pack(target[a:b]), "background": pack(background[a:b])}])
+
+
+def answered(sent: DataFrame, min_count: int) -> DataFrame:
+    """Each chunk's keys' counts over all chunks. Chunk -1: of a bucket's keys, those with min_count or more, and the counts of the others."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(k) for k in group.column("keys").to_pylist()]
+        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([unpack(x) for x in group.column(c).to_pylist()]), len(keys)) for c in ("target", "background")]
+        rare = sums[1] < min_count
+        ends = np.cumsum([len(p) for p in parts])
+        target, background = ([pack(s[place[e - len(p) : e]]) for p, e in zip(parts, ends)] for s in sums)
+        bucket = group.column("bucket")[0].as_py()
+        return pa.table([pa.array([bucket] * (len(parts) + 1)), pa.array([*group.column("chunk").to_pylist(), -1]), pa.array([*target, pack(np.array([(~rare).sum(), sums[0][rare].sum()]))], pa.binary()), pa.array([*background, pack(np.array([len(keys), sums[1][rare].sum()]))], pa.binary())], ["bucket", "chunk", "target", "background"])
+
+    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def by_chunk(answers: DataFrame, name: str) -> DataFrame:
+    return answers.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "target", "background")).alias(name))
+
+
+def counts_in(answer: list[dict] | None) -> np.ndarray:
+    """2 x keys of the chunk, target and background."""
+    rows = sorted(answer or [], key=lambda r: r["bucket"])
+    return np.array([np.concatenate([unpack(r[c]) for r in rows] or [np.zeros(0)]) for c in ("target", "background")], float)
+
+
+def pairs_in(row: dict, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's words: document lengths, whether a document begins, the code of each, counts and rareness by code, the chunk's pairs and each word's place in them."""
+    lengths, keys, codes, counts = unpack(row["lengths"]).astype(np.int64), unpack_sorted(row["keys"]), unpack(row["codes"]).astype(np.int64), counts_in(row["words"])
+    rare = counts[1] < min_count
+    ids = np.where(rare, np.uint64(UNKNOWN), keys)[codes]
+    begins = np.zeros(len(codes), bool)
+    begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    before = np.where(begins, np.uint64(START), np.roll(ids, 1))
+    pairs, place = np.unique(pair_keys(before, ids), return_inverse=True)
+    return lengths, begins, codes, counts, rare, pairs, place
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return score(docs, fit(docs, targets, settings, doc_id, text), doc_id, text)
+    """One row per row of docs: doc_id, n_words, target_loss, background_loss, score. targets: a frame with the ids (column doc_id) of target documents."""
+    s = settings
+    chosen = targets.select(F.col(doc_id).alias("id_")).filter(F.col("id_").isNotNull()).distinct().withColumn("target", F.lit(1))
+    flagged = sized_join(docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")), chosen, "id_", "left").select("id_", "t", F.coalesce("target", F.lit(0)).alias("target"))
+    chunks = stage(chunks_of(flagged), "lm-chunks")
+    made = chunks.agg(F.count(F.lit(1)), F.sum("distinct")).first()
+    word_bits = int((made[1] or 0) // BUCKET_KEYS).bit_length()
+    pair_bits = int(made[0] * CHUNK_WORDS // BUCKET_KEYS).bit_length()
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                codes, keys = unpack(row["codes"]).astype(np.int64), unpack_sorted(row["keys"])
+                chosen = np.repeat(unpack(row["targets"]) > 0, unpack(row["lengths"]).astype(np.int64))
+                yield from send(row["chunk"], keys, np.bincount(codes[chosen], minlength=len(keys)), np.bincount(codes, minlength=len(keys)), word_bits)
+
+    answers = stage(answered(chunks.select("chunk", "lengths", "targets", "keys", "codes").mapInArrow(send_words, SENT), s.min_count), "lm-words")
+    told = [(unpack(r["target"]), unpack(r["background"])) for r in answers.filter("chunk < 0").collect()]
+    n_types = 2 + sum(int(t[0]) for t, _ in told)
+    rare_counts = np.array([sum(float(t[1]) for t, _ in told), sum(float(b[1]) for _, b in told)])
+    known = chunks.join(by_chunk(answers, "words"), "chunk", "left")
+
+    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, _, _, _, _, pairs, place = pairs_in(row, s.min_count)
+                chosen = np.repeat(unpack(row["targets"]) > 0, lengths)
+                yield from send(row["chunk"], pairs, np.bincount(place[chosen], minlength=len(pairs)), np.bincount(place, minlength=len(pairs)), pair_bits)
+
+    pair_answers = stage(answered(known.drop("ids").mapInArrow(send_pairs, SENT), 1), "lm-pairs")
+    sizes = chunks.select("chunk", "lengths", "targets").mapInArrow(_totals, "target long, background long").agg(F.sum("target"), F.sum("background")).first()
+    total = np.array([[float(sizes[0] or 0)], [float(sizes[1] or 0)]])
+    scale = np.array([[1.0], [total[0, 0] / total[1, 0] if total[1, 0] else 1.0]])
+    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score"))])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                lengths, begins, codes, counts, rare, _, place = pairs_in(row, s.min_count)
+                words_ = np.where(rare, rare_counts[:, None], counts)[:, codes] * scale
+                bigrams = counts_in(row["pairs"])[:, place] * scale
+                single = (words_ + s.floor) / (total * scale + s.floor * n_types)
+                context = np.where(begins, 0.0, np.roll(words_, 1, axis=1))
+                loss = -np.log((bigrams + s.bigram_mass * single) / (np.maximum(context, bigrams) + s.bigram_mass))
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                target, background = (np.bincount(doc, x, len(lengths)) / np.maximum(lengths, 1) for x in loss)
+                yield pa.RecordBatch.from_arrays([ids[i].values, pa.array(lengths), pa.array(target), pa.array(background), pa.array(background - target)], kind.names)
+
+    return known.join(by_chunk(pair_answers, "pairs"), "chunk", "left").mapInArrow(losses, kind)
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            lengths = unpack(row["lengths"])
+            yield pa.RecordBatch.from_pylist([{"target": int(lengths[unpack(row["targets"]) > 0].sum()), "background": int(lengths.sum())}])

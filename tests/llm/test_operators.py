@@ -251,6 +251,40 @@ def test_lm_scores(spark):
         assert got[d].target_loss == pytest.approx(loss / len(ids))
 
 
+def test_lm_scores_count_every_word_and_pair(spark, monkeypatch):
+    """More words than 65,536 and more pairs than 2^18, over several chunks and buckets."""
+    rng = random.Random(6)
+    ship(spark)
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 60_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 50_000)
+    rows = [(i, " ".join(f"w{rng.randrange(80_000)}" for _ in range(400))) for i in range(1000)] + [(5000, None), (5001, ""), (7, "w1 once w2"), (None, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.cross_entropy_difference(df, df.filter("doc_id < 300")).collect()
+    count = collections.Counter(w for _, t in rows for w in (t or "").split())
+    texts = [(d, [w if count[w] > 1 else "" for w in (t or "").split()]) for d, t in rows]
+    single, pair = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for d, ws in texts:
+        for k in (0, 1) if d is not None and d < 300 else (1,):
+            single[k].update(ws)
+            pair[k].update(zip([None, *ws], ws))
+    types, total = 2 + len(set(single[1]) - {""}), [s.total() for s in single]
+    assert types > 65_536 and len(pair[1]) > 1 << 18
+
+    def loss(ws, k):
+        scale, out = total[0] / total[k], 0.0
+        for before, w in zip([None, *ws], ws):
+            n, p = scale * pair[k][before, w], (scale * single[k][w] + 0.5) / (total[0] + 0.5 * types)
+            out -= math.log((n + 50 * p) / (max(scale * single[k][before], n) + 50))
+        return out / max(1, len(ws))
+
+    want = sorted((str(d), len(ws), loss(ws, 0), loss(ws, 1)) for d, ws in texts)
+    found = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in got)
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in found], [r[2:] for r in want], rtol=1e-9)
+    assert all(r.score == pytest.approx(r.background_loss - r.target_loss) for r in got)
+    assert lm_scoring.cross_entropy_difference(empty(spark), df).count() == 0
+
+
 @pytest.mark.parametrize("copies", [0, 300])
 def test_top_k(spark, copies):
     rng = np.random.default_rng(7)
