@@ -39,7 +39,6 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 32
-    common_word_chars: int = 6
     max_languages: int = 64
     min_class_chars: int = 200
     max_class_distance: float = 0.22
@@ -65,7 +64,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
 
     Class shares are medians over documents of at least min_class_chars, in
     thousandths, so that a minority of junk does not move them; a common word
-    holds a letter and has at most common_word_chars characters.
+    holds a letter.
     """
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang), F.lit(POOLED)).alias("g"))
     sizes = docs.filter(F.col("g") != POOLED).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +72,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     own = F.when(F.col("g").isin(known), F.col("g")).otherwise(F.lit(POOLED)) if known else F.lit(POOLED)
     docs = docs.withColumn("g", own)
 
-    # One pass: the words up to common_word_chars, all longer ones as one, and the shares of classes as tags that hold a space
+    # One pass: the words, and the shares of classes as tags that hold a space
     whole = F.length("t")
     n_space = whole - F.length(F.regexp_replace("t", SPACE, ""))
     counts = docs.select("g", "t", whole.alias("n"), F.array(*(_count(F.col("t"), p) for p in CLASSES), n_space.cast("long")).alias("c"))
@@ -81,8 +80,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     bins = F.transform(F.concat("c", F.array(rest)), lambda x: F.floor(F.lit(1000) * x / F.col("n") + 0.5))
     tags = F.transform(bins, lambda x, i: F.concat_ws(" ", i.cast("string"), x.cast("string")))
     said = counts.select("g", F.explode(F.concat(words(F.col("t")), F.when(F.col("n") >= rules.min_class_chars, tags).otherwise(F.array().cast("array<string>")))).alias("w"))
-    short = F.when(F.col("w").contains(" ") | (F.length("w") <= rules.common_word_chars), F.col("w")).otherwise(F.lit(""))
-    counted = stage(said.groupBy("g", short.alias("w")).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    counted = stage(said.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
 
     binned = [(r["g"], *map(int, r["w"].split(" ")), r["n"]) for r in counted.filter(F.col("w").contains(" ")).collect()]
     medians = {g: [_median([(b, n) for h, c, b, n in binned if c == k and g in (POOLED, h)]) for k in range(len(CLASSES) + 2)] for g in [POOLED, *known]}

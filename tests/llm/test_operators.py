@@ -67,6 +67,15 @@ def test_rules_reject_what_diverges(spark):
     assert [i for i, kept in got.items() if not kept] == [90, 91]
 
 
+def test_rules_count_long_words(spark):
+    """A language of long words has common words too."""
+    rng = random.Random(2)
+    own, other = (["grundlage", "verfahren", "wasserwerk", "hauptstadt", "zwischenzeit"], ["abfahrten", "beispiele", "damaligen", "fernmelder", "kirchentagen"])
+    rows = [(i, " ".join(rng.choices(own if i < 30 else other, [9, 6, 5, 2, 2], k=150)), "de") for i in range(32)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), quality_rules.Rules(max_repeat_percent=101)).collect()
+    assert sorted(r.doc_id for r in got if not r.kept) == [30, 31]
+
+
 def test_js_distance(spark):
     d = spark.range(1).select(quality_rules.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("a"), quality_rules.js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("b")).first()
     assert (d.a, d.b) == (1.0, 0.0)
