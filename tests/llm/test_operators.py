@@ -76,6 +76,15 @@ def test_rules_count_long_words(spark):
     assert sorted(r.doc_id for r in got if not r.kept) == [30, 31]
 
 
+def test_rules_reject_symbols_beyond_ascii(spark):
+    """Too few words for the word comparison: the classes must tell."""
+    rng = random.Random(3)
+    clean = [(i, " ".join(rng.choices(["the", "of", "and", "sand", "river", "To"], [9, 6, 5, 2, 2, 1], k=200)), "en") for i in range(30)]
+    odd = [(90 + i, " ".join("".join(rng.choices(signs, k=4)) for _ in range(60)), "en") for i, signs in enumerate(("▓░█═║╬", "😀😂🎉🔥", "“”„—…", "。、「」！"))]
+    got = quality_rules.quality_rules(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string"), quality_rules.Rules(max_repeat_percent=101)).collect()
+    assert sorted(r.doc_id for r in got if not r.kept) == [90, 91, 92, 93]
+
+
 def test_js_distance(spark):
     d = spark.range(1).select(quality_rules.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("a"), quality_rules.js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("b")).first()
     assert (d.a, d.b) == (1.0, 0.0)
