@@ -2,14 +2,14 @@
 
 Each document's character-class histogram and common-word histogram is compared
 with references for its language by Jensen-Shannon distance (base 2, 0 to 1).
-The references are gathered from all documents of the language; a language
-without one (NULL, or beyond the max_languages most frequent) is held against
-the pooled reference. Short texts say little about a distribution, so each
+The references are gathered from all documents of the language, for every
+language; documents without one (NULL) are held against the pooled reference. Short texts say little about a distribution, so each
 comparison has a minimum length, under which it does not reject.
 
 The comparison is local to a row: the only shuffles are those of the word
-counts and class sums, which are combined before they travel. What reaches the
-driver is max_languages times (common_words + classes) numbers.
+counts and class sums, which are combined before they travel. The references are
+a written table, one row a language, joined to the documents; it is broadcast
+while it has at most BROADCAST_LANGUAGES rows. Only the pooled row reaches the driver.
 
 NULL text counts as empty and fails the base rules, as every text under
 min_words words does. Repeated rows are judged alike, each for itself. Columns
@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.text import SPACE, WORD, words
+from tallyframe.llm.text import SPACE, WORD, sized_join, words
 from tallyframe.storage import stage
 
 #: Character classes besides white space and everything else, as patterns.
 CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[#*$%&|<>]", r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D#*$%&|<>]")
 POOLED = ""
 INDEX_BITS = 24
+BROADCAST_LANGUAGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,6 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 32
-    max_languages: int = 64
     min_class_chars: int = 200
     max_class_distance: float = 0.22
     min_word_count: int = 100
@@ -50,28 +50,15 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-@dataclass
-class Reference:
-    """Per language: class shares, common words by rank, and their shares (the last one is of all other words)."""
-
-    classes: dict[str, list[float]]
-    words: dict[str, list[str]]
-    shares: dict[str, list[float]]
-
-
-def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> Reference:
-    """Gather the references from all documents.
+def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """Gather the references from all documents: a row a language and the pooled one, with lang_ (POOLED for the latter),
+    class_ref_ (class shares), word_ref_ (common words by rank) and share_ref_ (their shares, the last one of all other words).
 
     Class shares are medians over documents of at least min_class_chars, in
     thousandths, so that a minority of junk does not move them; a common word
     holds a letter.
     """
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang), F.lit(POOLED)).alias("g"))
-    sizes = docs.filter(F.col("g") != POOLED).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    known = sorted(r["g"] for r in sizes.orderBy(F.desc("n"), "g").limit(rules.max_languages).collect())
-    own = F.when(F.col("g").isin(known), F.col("g")).otherwise(F.lit(POOLED)) if known else F.lit(POOLED)
-    docs = docs.withColumn("g", own)
-
     # One pass: the words, and the shares of classes as tags that hold a space
     whole = F.length("t")
     n_space = whole - F.length(F.regexp_replace("t", SPACE, ""))
@@ -82,34 +69,43 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     said = counts.select("g", F.explode(F.concat(words(F.col("t")), F.when(F.col("n") >= rules.min_class_chars, tags).otherwise(F.array().cast("array<string>")))).alias("w"))
     counted = stage(said.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
 
-    binned = [(r["g"], *map(int, r["w"].split(" ")), r["n"]) for r in counted.filter(F.col("w").contains(" ")).collect()]
-    medians = {g: [_median([(b, n) for h, c, b, n in binned if c == k and g in (POOLED, h)]) for k in range(len(CLASSES) + 2)] for g in [POOLED, *known]}
-    classes = {g: [x / max(1, sum(m)) for x in m] for g, m in medians.items()}
+    tag = F.split("w", " ")
+    binned = counted.filter(F.col("w").contains(" ")).select("g", F.get(tag, 0).cast("int").alias("c"), F.get(tag, 1).cast("int").alias("b"), "n")
+    binned = binned.filter(F.col("g") != POOLED).unionByName(binned.groupBy("c", "b").agg(F.sum("n").alias("n")).withColumn("g", F.lit(POOLED)))
+    ranks = Window.partitionBy("g", "c")
+    below = F.sum("n").over(ranks.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    # the lower median
+    medians = binned.withColumn("half", 2 * below >= F.sum("n").over(ranks)).filter("half").groupBy("g", "c").agg(F.min("b").alias("b"))
+    per = medians.groupBy("g").agg(F.array(*(F.coalesce(F.max(F.when(F.col("c") == k, F.col("b"))), F.lit(0)) for k in range(len(CLASSES) + 2))).alias("m"))
+    sums = F.greatest(F.lit(1), F.aggregate("m", F.lit(0), lambda s, x: s + x))
+    classes = per.select(F.col("g").alias("lang_"), F.transform("m", lambda x: x / sums).alias("class_ref_"))
 
     counted = counted.filter(~F.col("w").contains(" "))
-    totals = {r["g"]: r["n"] for r in counted.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    totals = counted.groupBy("g").agg(F.sum("n").alias("total"))
+    totals = totals.filter(F.col("g") != POOLED).unionByName(totals.agg(F.sum("total").alias("total")).select(F.lit(POOLED).alias("g"), "total"))
     pooled = counted.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("g"), "w", "n")
-    ranked: dict[str, list[str]] = {g: [] for g in [POOLED, *known]}
-    shares: dict[str, list[float]] = {g: [] for g in [POOLED, *known]}
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "w"))
     lettered = counted.filter(F.col("g") != POOLED).unionByName(pooled).filter(F.col("w").rlike(r"\p{L}"))
-    best = lettered.withColumn("r", rank).filter(F.col("r") <= rules.common_words).collect()
-    for r in sorted(best, key=lambda r: (r["g"], r["r"])):
-        ranked[r["g"]].append(r["w"])
-        shares[r["g"]].append(r["n"] / (totals[r["g"]] if r["g"] != POOLED else sum(totals.values())))
-    for g in shares:
-        shares[g].append(max(0.0, 1.0 - sum(shares[g])))
-    return Reference(classes, ranked, shares)
+    best = lettered.withColumn("r", rank).filter(F.col("r") <= rules.common_words).join(totals, "g")
+    listed = best.groupBy(F.col("g").alias("lang_")).agg(F.sort_array(F.collect_list(F.struct("r", "w", (F.col("n") / F.col("total")).alias("q")))).alias("best"))
+    others = F.greatest(F.lit(0.0), 1 - F.aggregate("best", F.lit(0.0), lambda s, x: s + x["q"]))
+    listed = listed.select("lang_", F.col("best.w").alias("word_ref_"), F.concat(F.col("best.q"), F.array(others)).alias("share_ref_"))
+    return stage(classes.join(listed, "lang_", "full").select("lang_", *(F.coalesce(n, default).alias(n) for n, default in _nothing().items())), "references")
+
 
+def _nothing() -> dict[str, Column]:
+    """The reference of no documents."""
+    return {"class_ref_": F.array(*[F.lit(0.0)] * (len(CLASSES) + 2)), "word_ref_": F.array().cast("array<string>"), "share_ref_": F.array(F.lit(1.0))}
 
-def _median(bins: list[tuple[int, int]]) -> int:
-    """The lower median of values with counts."""
-    half, seen = sum(n for _, n in bins) / 2, 0
-    for value, n in sorted(bins):
-        seen += n
-        if seen >= half:
-            return value
-    return 0
+
+def with_reference(docs: DataFrame, ref: DataFrame, lang: str) -> DataFrame:
+    """docs plus the reference of their language, or the pooled one."""
+    docs = docs.withColumn("lang_", F.coalesce(F.col(lang), F.lit(POOLED)))
+    df = sized_join(docs, ref.filter(F.col("lang_") != POOLED), "lang_", "left", BROADCAST_LANGUAGES)
+    pooled = ref.filter(F.col("lang_") == POOLED).first()
+    array = lambda v, kind: F.array(*(F.lit(x) for x in v)).cast(f"array<{kind}>")
+    default = {n: array(pooled[n], "string" if n == "word_ref_" else "double") for n in _nothing()} if pooled else _nothing()
+    return df.withColumns({n: F.coalesce(n, c) for n, c in default.items()}).drop("lang_")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -154,45 +150,28 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("grams")
 
 
-def _by_language(values: dict[str, list], g: Column) -> Column:
-    """The language's list, or the pooled one."""
-    array = lambda v: F.array(*(F.lit(x) for x in v)) if v else F.array().cast("array<string>")
-    out = None
-    for k in sorted(values):
-        if k != POOLED:
-            out = F.when(g == k, array(values[k])) if out is None else out.when(g == k, array(values[k]))
-    return array(values[POOLED]) if out is None else out.otherwise(array(values[POOLED]))
-
-
-def judged(docs: DataFrame, ref: Reference, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, ref: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """docs plus the measures, class_distance, word_distance (NULL under the minimum length), base_failed and kept."""
-    df = measured(docs, text)
-    g = F.coalesce(F.col(lang), F.lit(POOLED))
+    df = measured(with_reference(docs, ref, lang), text)
     t, whole = F.col("text_"), F.length("text_").cast("double")
     n_space = F.length("text_") - F.col("word_chars")
     counts = [_count(t, CLASSES[0]), _count(t, CLASSES[1]), F.col("n_symbols"), _count(t, CLASSES[3]), n_space]
     df = df.withColumn("counts_", F.array(*(c.cast("double") for c in counts)))
     rest = whole - F.aggregate("counts_", F.lit(0.0), lambda s, x: s + x)
     shares = F.transform(F.concat("counts_", F.array(rest)), lambda x: x / whole)
-    df = df.withColumn("class_distance", F.when(whole >= rules.min_class_chars, js_distance(shares, _by_language(ref.classes, g))))
-
-    every = sorted({w for ws in ref.words.values() for w in ws})
-    if every:
-        df = df.withColumn("ref_", _by_language(ref.words, g))
-        df = df.withColumn("found_", F.filter("words_", lambda x: x.isin(every)))
-        df = df.withColumn("found_", F.array_remove(F.transform("found_", lambda x: F.array_position("ref_", x)), 0))
-        n = F.col("n_words").cast("double")
-        hits = F.transform(F.sequence(F.lit(1).cast("long"), F.size("ref_").cast("long")), lambda k: (F.size("found_") - F.size(F.array_remove(F.col("found_"), k))) / n)
-        own = F.concat(F.when(F.size("ref_") > 0, hits).otherwise(F.array().cast("array<double>")), F.array(1.0 - F.size("found_") / n))
-        df = df.withColumn("word_distance", F.when(n >= rules.min_word_count, js_distance(own, _by_language(ref.shares, g)))).drop("ref_", "found_")
-    else:
-        df = df.withColumn("word_distance", F.lit(None).cast("double"))
+    df = df.withColumn("class_distance", F.when(whole >= rules.min_class_chars, js_distance(shares, F.col("class_ref_"))))
+
+    df = df.withColumn("found_", F.array_remove(F.transform("words_", lambda x: F.array_position("word_ref_", x)), 0))
+    n, size = F.col("n_words").cast("double"), F.size("word_ref_")
+    hits = F.transform(F.sequence(F.lit(1).cast("long"), size.cast("long")), lambda k: (F.size("found_") - F.size(F.array_remove(F.col("found_"), k))) / n)
+    own = F.concat(F.when(size > 0, hits).otherwise(F.array().cast("array<double>")), F.array(1.0 - F.size("found_") / n))
+    df = df.withColumn("word_distance", F.when(n >= rules.min_word_count, js_distance(own, F.col("share_ref_"))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rules.max_word_distance)
     # A random number of the verdict's sign: a filter on a deterministic verdict would be pushed below the measures, which
     # then are written into it, and computed, many times over.
     sign = F.when(~failed & near, F.rand(0)).otherwise(-1 - F.rand(1))
-    return df.withColumn("base_failed", failed).withColumn("kept", sign >= 0).drop("text_", "words_", "counts_")
+    return df.withColumn("base_failed", failed).withColumn("kept", sign >= 0).drop("text_", "words_", "counts_", "found_", *_nothing())
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -200,6 +179,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
 
     Working columns of the input with the names of results are dropped first.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "text_", "words_", "lines_", "sorted_keys", "near", "grams", "counts_", "ref_", "found_"} - {text, lang}
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "text_", "words_", "lines_", "sorted_keys", "near", "grams", "counts_", "found_", "lang_", *_nothing()} - {text, lang}
     docs = docs.drop(*made)
     return judged(docs, references(docs, rules, text, lang), rules, text, lang)

@@ -85,6 +85,20 @@ def test_rules_reject_symbols_beyond_ascii(spark):
     assert sorted(r.doc_id for r in got if not r.kept) == [90, 91, 92, 93]
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 10])
+def test_rules_hold_every_language_against_its_own(spark, monkeypatch, broadcast):
+    rng = random.Random(4)
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", broadcast)
+    rows = []
+    for k in range(80):
+        own = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(5)]
+        rows += [(100 * k + i, " ".join(rng.choices(own, [9, 6, 5, 2, 2], k=150)), f"l{k:02}") for i in range(200 if k == 0 else 15)]
+    odd = [(9000, rows[0][1], "l79"), (9001, rows[-1][1], "l00"), (9002, rows[-1][1].upper(), "l79"), (9003, rows[0][1], None)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"), quality_rules.Rules(max_repeat_percent=101)).collect()
+    assert len(got) == len(rows) + len(odd)
+    assert {r.doc_id for r in got if not r.kept} - {9003} == {9000, 9001, 9002}
+
+
 def test_js_distance(spark):
     d = spark.range(1).select(quality_rules.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("a"), quality_rules.js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("b")).first()
     assert (d.a, d.b) == (1.0, 0.0)
