@@ -3,7 +3,8 @@
 A page is cut into flat blocks of text at block-level tags. Each block is described
 by its word count and link density, those of the blocks before and after it, whether
 it is a heading, whether it lies in the page's article (or the page has none, or it
-lies outside), and whether an element around it is, by tag, role, class or id, a menu,
+lies outside; articles with less than half of the page's unlinked words outside
+boilerplate, such as teasers, count as none), and whether an element around it is, by tag, role, class or id, a menu,
 header, footer, sidebar, notice, advert, form or reader comment. A decision tree,
 trained on the small labelled table below, keeps or drops each block.
 
@@ -58,14 +59,19 @@ LABELLED = (
     (40, 0.0, 60, 0.0, 50, 0.0, 0, 1, 1, 0), (120, 0.0, 3, 0.0, 4, 0.0, 0, 0, 1, 0), (25, 0.4, 60, 0.0, 3, 1.0, 0, 1, 1, 0), (3, 0.0, 1, 1.0, 30, 0.0, 1, -1, 1, 0),
     (2, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0), (60, 0.0, 2, 0.0, 60, 0.0, 0, -1, 1, 0), (14, 0.0, 100, 0.0, 12, 0.0, 0, 0, 1, 0), (5, 1.0, 5, 1.0, 5, 1.0, 0, 1, 1, 0),
     (200, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0), (1, 0.0, 12, 0.0, 1, 0.0, 0, 1, 1, 0), (30, 0.0, 1, 0.0, 200, 0.0, 0, 1, 1, 0), (4, 0.0, 4, 0.0, 4, 0.0, 1, 0, 1, 0),
-    # inside the article everything else stays: headings, long and short paragraphs, lists of links
+    (4, 1.0, 60, 0.0, 60, 0.0, 0, 1, 1, 0), (10, 1.0, 90, 0.0, 80, 0.0, 0, 0, 1, 0), (5, 1.0, 70, 0.0, 90, 0.0, 0, -1, 1, 0), (1, 1.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0), (6, 1.0, 40, 0.0, 35, 0.0, 0, 1, 1, 0),
+    # inside the article headings, long and short paragraphs and links between texts stay
     (10, 0.0, 8, 0.0, 60, 0.0, 1, 1, 0, 1), (1, 0.0, 80, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 90, 0.0, 0, 1, 0, 1), (150, 0.0, 10, 0.0, 120, 0.0, 0, 1, 0, 1),
     (60, 0.2, 60, 0.0, 60, 0.0, 0, 1, 0, 1), (5, 1.0, 80, 0.0, 70, 0.0, 0, 1, 0, 1), (3, 0.0, 0, 0.0, 3, 0.0, 0, 1, 0, 1), (400, 0.0, 1, 1.0, 9, 0.1, 0, 1, 0, 1),
     (1, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 1), (12, 0.0, 70, 0.0, 9, 1.0, 0, 1, 0, 1), (7, 0.4, 40, 0.0, 40, 0.0, 0, 1, 0, 1), (1, 1.0, 30, 0.0, 30, 0.0, 0, 1, 0, 1),
-    # outside the article nothing stays
+    # inside the article lists of links go
+    (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 70, 0.0, 0, 1, 0, 0), (25, 0.9, 8, 1.0, 30, 0.9, 0, 1, 0, 0), (4, 1.0, 6, 1.0, 0, 0.0, 0, 1, 0, 0),
+    (3, 1.0, 80, 0.0, 3, 1.0, 0, 1, 0, 0), (6, 1.0, 120, 0.0, 5, 1.0, 0, 1, 0, 0), (1, 1.0, 30, 0.0, 1, 1.0, 0, 1, 0, 0), (8, 1.0, 70, 0.0, 9, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 90, 0.0, 0, 1, 0, 0),
+    # outside the article long texts with few links stay, others go
+    (150, 0.0, 120, 0.0, 130, 0.0, 0, -1, 0, 1), (220, 0.05, 60, 0.0, 180, 0.0, 0, -1, 0, 1), (180, 0.0, 4, 0.0, 3, 1.0, 0, -1, 0, 1), (160, 0.9, 40, 0.0, 8, 1.0, 0, -1, 0, 0), (6, 1.0, 80, 0.0, 70, 0.0, 0, -1, 0, 0),
     (8, 0.0, 1, 1.0, 10, 0.0, 0, -1, 0, 0), (50, 0.0, 60, 0.0, 2, 0.0, 0, -1, 0, 0), (2, 0.0, 0, 0.0, 10, 0.0, 1, -1, 0, 0), (3, 1.0, 3, 1.0, 12, 0.0, 0, -1, 0, 0),
     (100, 0.0, 90, 0.0, 4, 0.0, 0, -1, 0, 0), (12, 0.2, 200, 0.0, 0, 0.0, 0, -1, 0, 0), (30, 0.0, 8, 0.0, 120, 0.0, 0, -1, 0, 0), (1, 0.0, 40, 0.0, 1, 1.0, 0, -1, 0, 0),
-    (90, 0.0, 80, 0.0, 100, 0.0, 0, -1, 0, 0), (25, 0.0, 30, 0.0, 30, 0.0, 0, -1, 0, 0), (60, 0.0, 1, 1.0, 25, 0.0, 0, -1, 0, 0), (200, 0.1, 60, 0.0, 60, 0.0, 0, -1, 0, 0),
+    (90, 0.0, 80, 0.0, 100, 0.0, 0, -1, 0, 0), (25, 0.0, 30, 0.0, 30, 0.0, 0, -1, 0, 0), (60, 0.0, 1, 1.0, 25, 0.0, 0, -1, 0, 0), (200, 0.1, 60, 0.0, 60, 0.0, 0, -1, 0, 1),
     (18, 0.0, 40, 0.0, 45, 0.0, 1, -1, 0, 0), (40, 0.0, 50, 0.0, 70, 0.0, 0, -1, 0, 0), (6, 0.0, 50, 0.0, 55, 0.0, 0, -1, 0, 0), (35, 0.05, 25, 0.0, 60, 0.0, 0, -1, 0, 0),
     # no article on the page: long blocks with few links, short ones between long ones, headings before long ones
     (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (30, 0.05, 40, 0.0, 3, 0.0, 0, 0, 0, 1), (20, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1), (150, 0.1, 1, 1.0, 4, 1.0, 0, 0, 0, 1),
@@ -76,6 +82,7 @@ LABELLED = (
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0),
     (6, 0.5, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (20, 0.9, 50, 0.0, 10, 1.0, 0, 0, 0, 0), (35, 0.8, 4, 1.0, 60, 0.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
     (7, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0), (4, 0.3, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0), (50, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (5, 1.0, 0, 0.0, 6, 1.0, 0, 0, 0, 0), (3, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
 )
 
 
@@ -224,7 +231,9 @@ def blocks(page: str) -> list[list]:
 
 def described(found: list[list]) -> list[tuple]:
     """The tree's view of each block."""
-    has_article = any(b[4] and not b[5] for b in found)
+    inside = sum(b[1] - b[2] for b in found if b[4] and not b[5])
+    outside = sum(b[1] - b[2] for b in found if not b[4] and not b[5])
+    has_article = inside > 0 and inside >= outside
     density = [b[2] / b[1] for b in found]
     out = []
     for i, b in enumerate(found):

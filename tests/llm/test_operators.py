@@ -404,6 +404,15 @@ def test_html(spark):
     assert got[2] == ("", 0) and got[1][1] == len(got[1][0])
 
 
+def test_html_weighs_length_and_links_around_articles():
+    tree = html_text.train()
+    body, links = "<p>" + "word " * 90 + "<p>" + "more " * 80, "<ul>" + "<li><a>Read also this</a>" * 6 + "</ul>"
+    assert html_text.main_text(f"<div>{body}</div><article><p>A card</article>", tree).split()[:170] == ["word"] * 90 + ["more"] * 80
+    assert html_text.main_text(f"<article>{body}{links}</article>", tree).split() == ["word"] * 90 + ["more"] * 80
+    assert html_text.main_text(f"<article>{body}{body}</article><div><p>{'also ' * 150}</div><p>{'brief ' * 30}", tree).split() == 2 * (["word"] * 90 + ["more"] * 80) + ["also"] * 150
+    assert html_text.main_text(f"<article>{body}<div class='ad'><a>Buy this</a></div>{body}</article>", tree).split() == 2 * (["word"] * 90 + ["more"] * 80)
+
+
 def test_html_of_pages(spark):
     ship(spark)
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
