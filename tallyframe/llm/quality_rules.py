@@ -3,18 +3,21 @@
 Each document's character-class histogram and common-word histogram is compared
 with references for its language by Jensen-Shannon distance (base 2, 0 to 1).
 The references are gathered from all documents of the language, for every
-language; documents without one (NULL) are held against the pooled reference. Short texts say little about a distribution, so each
-comparison has a minimum length, under which it does not reject.
+language; documents without one (NULL) are held against the pooled reference. Short
+texts say little about a distribution, so each comparison has a minimum length,
+under which it does not reject.
 
 The comparison is local to a row: the only shuffles are those of the word
 counts and class sums, which are combined before they travel. The references are
 a written table, one row a language, joined to the documents; it is broadcast
 while it has at most BROADCAST_LANGUAGES rows. Only the pooled row reaches the driver.
+The judged rows are written once and read back, so that a filter on the verdict
+reads them instead of computing the measures anew.
 
 NULL text counts as empty and fails the base rules, as every text under
-min_words words does. Repeated rows are judged alike, each for itself. Columns
-of the input other than text and language are passed through untouched when
-keep_columns is set, whatever their names.
+min_words words does. Repeated rows are judged alike, each for itself. An empty
+table gives an empty one. Columns of the input pass through, whatever their names,
+but those named as a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.text import SPACE, WORD, sized_join, words
+from tallyframe.llm.text import WORD, sized_join, words
 from tallyframe.storage import stage
 
 #: Character classes besides white space and everything else, as patterns.
 CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[#*$%&|<>]", r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D#*$%&|<>]")
+#: Runs of these belong to no class of the above; without them a text is short.
+PLAIN = "[a-z ]+"
 POOLED = ""
-INDEX_BITS = 24
 BROADCAST_LANGUAGES = 20_000
+#: Parts in which the most common words of a language are sought before they meet.
+RANK_PARTS = (64, 8)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 @dataclass(frozen=True)
@@ -46,8 +53,23 @@ class Rules:
     max_word_distance: float = 0.29
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def counted_classes(df: DataFrame) -> DataFrame:
+    """df (text_) plus words_, word_chars and counts_, the characters of each class, of white space and of everything else."""
+    df = df.withColumn("words_", words(F.col("text_"))).withColumn("short_", F.regexp_replace("text_", PLAIN, ""))
+    df = df.withColumn("word_chars", F.length(F.concat_ws("", "words_")).cast("long"))
+    whole = F.length("text_").cast("long")
+    df = df.withColumn("counts_", F.array(*(F.regexp_count("short_", F.lit(p)).cast("long") for p in CLASSES), whole - F.col("word_chars"))).drop("short_")
+    rest = whole - F.aggregate("counts_", F.lit(0).cast("long"), lambda s, x: s + x)
+    return df.withColumn("counts_", F.concat("counts_", F.array(rest)))
+
+
+def best_words(counted: DataFrame, n: int) -> DataFrame:
+    """The n most common words of each language, rank r: in parts of a language first, so that no task reads what all others found."""
+    order = (F.desc("n"), "w")
+    for parts in RANK_PARTS:
+        part = F.pmod(F.xxhash64("w"), F.lit(parts))
+        counted = counted.withColumn("part_", part).withColumn("r", F.row_number().over(Window.partitionBy("g", "part_").orderBy(*order))).filter(F.col("r") <= n).drop("part_", "r")
+    return counted.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter(F.col("r") <= n)
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -58,15 +80,12 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     thousandths, so that a minority of junk does not move them; a common word
     holds a letter.
     """
-    docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang), F.lit(POOLED)).alias("g"))
+    docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text_"), F.coalesce(F.col(lang), F.lit(POOLED)).alias("g"))
     # One pass: the words, and the shares of classes as tags that hold a space
-    whole = F.length("t")
-    n_space = whole - F.length(F.regexp_replace("t", SPACE, ""))
-    counts = docs.select("g", "t", whole.alias("n"), F.array(*(_count(F.col("t"), p) for p in CLASSES), n_space.cast("long")).alias("c"))
-    rest = F.col("n") - F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
-    bins = F.transform(F.concat("c", F.array(rest)), lambda x: F.floor(F.lit(1000) * x / F.col("n") + 0.5))
-    tags = F.transform(bins, lambda x, i: F.concat_ws(" ", i.cast("string"), x.cast("string")))
-    said = counts.select("g", F.explode(F.concat(words(F.col("t")), F.when(F.col("n") >= rules.min_class_chars, tags).otherwise(F.array().cast("array<string>")))).alias("w"))
+    counts = counted_classes(docs)
+    tags = F.transform("counts_", lambda x, i: F.concat_ws(" ", i.cast("string"), F.floor(F.lit(1000) * x / F.length("text_") + 0.5).cast("string")))
+    some = F.when(F.length("text_") >= rules.min_class_chars, tags).otherwise(F.array().cast("array<string>"))
+    said = counts.withColumn("tags_", some).select("g", F.explode(F.concat("words_", "tags_")).alias("w"))
     counted = stage(said.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
 
     tag = F.split("w", " ")
@@ -84,9 +103,8 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     totals = counted.groupBy("g").agg(F.sum("n").alias("total"))
     totals = totals.filter(F.col("g") != POOLED).unionByName(totals.agg(F.sum("total").alias("total")).select(F.lit(POOLED).alias("g"), "total"))
     pooled = counted.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("g"), "w", "n")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "w"))
     lettered = counted.filter(F.col("g") != POOLED).unionByName(pooled).filter(F.col("w").rlike(r"\p{L}"))
-    best = lettered.withColumn("r", rank).filter(F.col("r") <= rules.common_words).join(totals, "g")
+    best = best_words(lettered, rules.common_words).join(totals, "g")
     listed = best.groupBy(F.col("g").alias("lang_")).agg(F.sort_array(F.collect_list(F.struct("r", "w", (F.col("n") / F.col("total")).alias("q")))).alias("best"))
     others = F.greatest(F.lit(0.0), 1 - F.aggregate("best", F.lit(0.0), lambda s, x: s + x["q"]))
     listed = listed.select("lang_", F.col("best.w").alias("word_ref_"), F.concat(F.col("best.q"), F.array(others)).alias("share_ref_"))
@@ -98,14 +116,13 @@ def _nothing() -> dict[str, Column]:
     return {"class_ref_": F.array(*[F.lit(0.0)] * (len(CLASSES) + 2)), "word_ref_": F.array().cast("array<string>"), "share_ref_": F.array(F.lit(1.0))}
 
 
-def with_reference(docs: DataFrame, ref: DataFrame, lang: str) -> DataFrame:
-    """docs plus the reference of their language, or the pooled one."""
-    docs = docs.withColumn("lang_", F.coalesce(F.col(lang), F.lit(POOLED)))
+def with_reference(docs: DataFrame, ref: DataFrame) -> DataFrame:
+    """docs (lang_) plus the reference of their language, or the pooled one."""
     df = sized_join(docs, ref.filter(F.col("lang_") != POOLED), "lang_", "left", BROADCAST_LANGUAGES)
     pooled = ref.filter(F.col("lang_") == POOLED).first()
     array = lambda v, kind: F.array(*(F.lit(x) for x in v)).cast(f"array<{kind}>")
     default = {n: array(pooled[n], "string" if n == "word_ref_" else "double") for n in _nothing()} if pooled else _nothing()
-    return df.withColumns({n: F.coalesce(n, c) for n, c in default.items()}).drop("lang_")
+    return df.withColumns({n: F.coalesce(n, c) for n, c in default.items()})
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -115,70 +132,68 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def repeat_words(w: Column, n: Column) -> tuple[Column, Column]:
-    """Two steps to the positions covered by 3-word windows that occur twice: candidate positions by a 40-bit hash, then an exact look.
+def repeated_windows(df: DataFrame) -> DataFrame:
+    """df (words_, n_words) plus near_: ascending positions of 3-word windows whose hash another window of the text has.
 
-    Both return arrays; the second expects the first as column "near".
+    A window is a hash above its position in one number; after sorting, equal hashes are neighbours.
     """
-    window = lambda i: [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
-    mask = F.lit((1 << INDEX_BITS) - 1)
-    keys = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.xxhash64(*window(i)), INDEX_BITS).bitwiseOR(i.cast("long")))).otherwise(F.array().cast("array<bigint>"))
-    high = lambda x: F.shiftright(x, INDEX_BITS)
-    s = F.col("sorted_keys")
-    near = F.transform(F.filter(s, lambda x, j: F.coalesce(high(x) == high(F.get(s, j + 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get(s, j - 1)), F.lit(False))), lambda x: x.bitwiseAND(mask).cast("int"))
-    return F.sort_array(keys), near
-
-
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the array of words (column words_)."""
-    t = F.col("text_")
-    df = docs.withColumn("text_", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("words_", words(t))
-    df = df.withColumn("n_words", F.size("words_").cast("long"))
-    df = df.withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("long"))
-    df = df.withColumn("n_symbols", _count(t, CLASSES[2]))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    df = df.withColumn("lines_", lines).withColumn("n_dup_lines", (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long")).drop("lines_")
-    keys, near = repeat_words(F.col("words_"), F.col("n_words").cast("int"))
-    df = df.withColumn("sorted_keys", keys).withColumn("near", near).drop("sorted_keys")
-    grams = F.sort_array(F.transform("near", lambda i: F.struct(F.concat_ws(" ", F.get("words_", i), F.get("words_", i + 1), F.get("words_", i + 2)).alias("g"), i.alias("i"))))
-    df = df.withColumn("grams", grams).drop("near")
-    g = F.col("grams")
+    w = F.col("words_")
+    df = df.withColumn("bits_", F.when(F.col("n_words") > 1 << 24, F.lit(32)).otherwise(F.lit(24)))
+    place = lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), F.col("bits_")).bitwiseOR(i.cast("long"))
+    df = df.withColumn("keys_", F.sort_array(F.slice(F.transform(w, place), 1, F.greatest(F.lit(0), F.size(w) - 2))))
+    s = F.col("keys_")
+    alike = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits_")) == 0
+    df = df.withColumn("pairs_", F.filter(F.transform(s, lambda x, j: F.when(alike(x, F.get(s, j + 1)), j)), lambda j: j.isNotNull()))
+    at = lambda j: F.get(s, j).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits_")) - 1).cast("int")
+    return df.withColumn("near_", F.array_distinct(F.flatten(F.transform("pairs_", lambda j: F.array(at(j), at(j + 1)))))).drop("bits_", "keys_", "pairs_")
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """df (text_) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and words_ and counts_."""
+    df = counted_classes(df).withColumn("n_words", F.size("words_").cast("long")).withColumn("n_symbols", F.get("counts_", F.lit(2)))
+    df = df.withColumn("lines_", F.filter(F.split("text_", "\n"), lambda x: x.rlike(WORD)))
+    df = df.withColumn("n_dup_lines", (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long")).drop("lines_")
+    df = repeated_windows(df)
+    # The hash only found candidates: the windows themselves decide
+    said = F.transform("near_", lambda i: F.struct(F.concat_ws(" ", F.get("words_", i), F.get("words_", i + 1), F.get("words_", i + 2)).alias("g"), i.alias("i")))
+    df = df.withColumn("grams_", F.sort_array(said)).drop("near_")
+    g = F.col("grams_")
     same = lambda x, j: F.coalesce(x["g"] == F.get(g, j)["g"], F.lit(False))
     twice = F.filter(g, lambda x, j: same(x, j + 1) | same(x, j - 1))
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("grams")
+    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("grams_")
+
 
+def common_pattern(word_ref: Column) -> Column:
+    """A pattern for whole words that are one of the common ones."""
+    quoted = F.transform(word_ref, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(rf"(?<!{WORD[:-1]})(?:"), F.array_join(quoted, "|"), F.lit(rf")(?!{WORD[:-1]})"))
 
-def judged(docs: DataFrame, ref: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs plus the measures, class_distance, word_distance (NULL under the minimum length), base_failed and kept."""
-    df = measured(with_reference(docs, ref, lang), text)
-    t, whole = F.col("text_"), F.length("text_").cast("double")
-    n_space = F.length("text_") - F.col("word_chars")
-    counts = [_count(t, CLASSES[0]), _count(t, CLASSES[1]), F.col("n_symbols"), _count(t, CLASSES[3]), n_space]
-    df = df.withColumn("counts_", F.array(*(c.cast("double") for c in counts)))
-    rest = whole - F.aggregate("counts_", F.lit(0.0), lambda s, x: s + x)
-    shares = F.transform(F.concat("counts_", F.array(rest)), lambda x: x / whole)
-    df = df.withColumn("class_distance", F.when(whole >= rules.min_class_chars, js_distance(shares, F.col("class_ref_"))))
 
-    df = df.withColumn("found_", F.array_remove(F.transform("words_", lambda x: F.array_position("word_ref_", x)), 0))
+def judged(df: DataFrame, ref: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """df (text_, lang_) plus the measures, class_distance, word_distance (NULL under the minimum length), base_failed and kept."""
+    df = measured(with_reference(df, ref))
+    whole = F.length("text_").cast("double")
+    df = df.withColumn("class_distance", F.when(whole >= rules.min_class_chars, js_distance(F.transform("counts_", lambda x: x / whole), F.col("class_ref_"))))
+
     n, size = F.col("n_words").cast("double"), F.size("word_ref_")
-    hits = F.transform(F.sequence(F.lit(1).cast("long"), size.cast("long")), lambda k: (F.size("found_") - F.size(F.array_remove(F.col("found_"), k))) / n)
-    own = F.concat(F.when(size > 0, hits).otherwise(F.array().cast("array<double>")), F.array(1.0 - F.size("found_") / n))
+    some = (size > 0) & (n >= rules.min_word_count)
+    said = F.regexp_extract_all("text_", common_pattern(F.col("word_ref_")), F.lit(0))
+    df = df.withColumn("found_", F.when(some, said).otherwise(F.array().cast("array<string>"))).withColumn("n_found_", F.size("found_"))
+    # each word between spaces of its own: what is gone without a word tells how often it was there
+    df = df.withColumn("found_", F.concat(F.lit(" "), F.array_join("found_", "  "), F.lit(" ")))
+    hits = F.transform("word_ref_", lambda w: (F.length("found_") - F.length(F.replace(F.col("found_"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2) / n)
+    own = F.concat(hits, F.array(1.0 - F.col("n_found_") / n))
     df = df.withColumn("word_distance", F.when(n >= rules.min_word_count, js_distance(own, F.col("share_ref_"))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rules.max_word_distance)
-    # A random number of the verdict's sign: a filter on a deterministic verdict would be pushed below the measures, which
-    # then are written into it, and computed, many times over.
-    sign = F.when(~failed & near, F.rand(0)).otherwise(-1 - F.rand(1))
-    return df.withColumn("base_failed", failed).withColumn("kept", sign >= 0).drop("text_", "words_", "counts_", "found_", *_nothing())
-
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: the text and language columns are replaced by the measures and the verdict.
 
-    Working columns of the input with the names of results are dropped first.
-    """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "text_", "words_", "lines_", "sorted_keys", "near", "grams", "counts_", "found_", "lang_", *_nothing()} - {text, lang}
-    docs = docs.drop(*made)
-    return judged(docs, references(docs, rules, text, lang), rules, text, lang)
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (those of keep, if given) plus MEASURES, one row per row of docs."""
+    through = [c for c in docs.columns if (keep is None or c in keep) and c not in MEASURES]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in through)).alias("row_")
+    df = docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_"), F.coalesce(F.col(f"`{lang}`"), F.lit(POOLED)).alias("lang_"))
+    done = judged(df, references(docs, rules, f"`{text}`", f"`{lang}`"), rules)
+    return stage(done.select(*(F.col(f"row_.`{c}`") for c in through), *MEASURES), "judged")

@@ -39,7 +39,7 @@ def op1_best_fit_packing(spark, sf_dir):
 @query
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.quality_rules(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query
@@ -97,10 +97,8 @@ _JS = f"{_TERM.format(a='p', b='q')} + {_TERM.format(a='q', b='p')}"
 SQL["op2_quality_rules"] = rf"""
 WITH docs AS (
     SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
-), known AS (
-    SELECT lang FROM docs WHERE lang <> '' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 64
 ), d AS (
-    SELECT doc_id, t, ws, CASE WHEN lang IN (SELECT lang FROM known) THEN lang ELSE '' END AS g, len(ws) AS n_words,
+    SELECT doc_id, t, ws, lang AS g, len(ws) AS n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS upper_,
