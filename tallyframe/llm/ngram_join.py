@@ -12,7 +12,8 @@ documents that share such a shingle are ever compared.
    documents lie in one component is done; for the others another leader is tried.
 3. What is left, documents of different components that share a shingle, is compared
    each with each, so no link between components is lost: as pairs where few share
-   it, else block by block, in the tree of one block with the documents of another.
+   it, else block by block, in the tree of one block with the documents of another,
+   of its own or a neighbouring band of set sizes; other sizes cannot link.
 
 Comparing is done in prefix trees: the documents to be compared with one leader are
 stored as paths of their ordered sets, common beginnings once. The walk carries the
@@ -35,6 +36,7 @@ documents of their own; the id of a component is the smallest in it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -44,12 +46,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.batches import slices, words_of
 from tallyframe.llm.text import sized_join
 from tallyframe.storage import stage
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FREQUENT = np.uint64(1 << 63)
-WORD_CACHE = 250_000
+#: Low bits of a shingle by which most that are not frequent are told at once.
+SIEVE_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -69,44 +72,47 @@ class Settings:
 # Shingles
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 63-bit hashes of its n-word shingles."""
+    import xxhash
 
-        if len(self) > WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    codes, bounds, distinct = words_of(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes]
 
+    def mixed(words: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(len(words) - width + 1, np.uint64(width), np.uint64)
+        for i in range(width):
+            out = (out ^ words[i : len(words) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(31)
+        return out & ~FREQUENT
 
-_HASHES = _WordHashes()
+    every = mixed(h, n) if len(h) >= n else h
+    none = np.zeros(0, np.uint64)
+    return [np.unique(every[a : b - n + 1]) if b - a >= n else mixed(h[a:b], int(b - a)) if b > a else none for a, b in zip(bounds, bounds[1:])]
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the n-word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(h))
-    out = np.full(len(h) - width + 1, np.uint64(width), np.uint64)
-    for i in range(width):
-        out = (out ^ h[i : len(h) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(31)
-    return np.unique(out & ~FREQUENT)
+class Order:
+    """The global order: frequent shingles last, by their ranks. frequent is sorted, places are its members' ranks."""
 
+    def __init__(self, frequent: np.ndarray, places: np.ndarray):
+        self.frequent, self.places = frequent, places
+        self.mask = np.uint64((1 << SIEVE_BITS) - 1)
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[frequent & self.mask] = True
 
-def in_order(found: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The set as numbers whose order is the global one. frequent is sorted, places are the ranks of its members."""
-    if len(frequent) and len(found):
-        k = np.searchsorted(frequent, found)
-        k[k == len(frequent)] = 0
-        hit = frequent[k] == found
-        if hit.any():
-            found = np.sort(np.where(hit, FREQUENT | places[k], found))
-    return found
+    def of(self, found: np.ndarray) -> np.ndarray:
+        """The set as numbers whose order is the global one."""
+        maybe = np.flatnonzero(self.sieve[found & self.mask])
+        if not len(maybe):
+            return found
+        k = np.searchsorted(self.frequent, found[maybe])
+        k[k == len(self.frequent)] = 0
+        hit = self.frequent[k] == found[maybe]
+        found = found.copy()
+        found[maybe[hit]] = FREQUENT | self.places[k[hit]]
+        return np.sort(found)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -236,11 +242,11 @@ def _frequent(docs: DataFrame, settings: Settings, text: str) -> tuple[np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(found[some].astype(np.int64)), pa.array(times[some].astype(np.int64))], ["s", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = shingles(t, n)
-                held.append(found)
-                size += len(found)
-                if size > 4_000_000:
+            for part in slices(batch, 0):
+                for found in shingle_sets(part.column(0), n):
+                    held.append(found)
+                    size += len(found)
+                if size > 2_000_000:
                     yield from flush()
         yield from flush()
 
@@ -253,24 +259,23 @@ def _frequent(docs: DataFrame, settings: Settings, text: str) -> tuple[np.ndarra
 
 
 def _key(doc_id: str, text: str) -> Column:
-    """Tells rows apart up to full equality of id and text."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """Tells rows apart up to full equality of id and text, in 128 bits."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("x"), F.xxhash64(F.lit("key"), F.col(text), F.col(doc_id)).alias("y"))
 
 
 def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
-    """row, key, doc_id, n, class_id, root: one row per row of docs."""
+    """row, key, doc_id, n, class, class_id, root (tells components apart), component_id: one row per row of docs."""
     spark, n, percent = docs.sparkSession, settings.words, settings.percent
     shared = spark.sparkContext.broadcast(_frequent(docs, settings, text))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        frequent, places = shared.value
+        order = Order(*shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part, sizes, signs, prefixes = batch.slice(i, 1024), [], [], []
-                for t in part.column(2).to_pylist():
-                    found = in_order(shingles(t, n), frequent, places)
+            for part in slices(batch, 2):
+                sizes, signs, prefixes = [], [], []
+                for found in map(order.of, shingle_sets(part.column(2), n)):
                     sizes.append(len(found))
                     signs.append(xxhash.xxh3_128_digest(found.tobytes()))
                     prefixes.append(found[: prefix_length(len(found), percent)].astype(np.int64))
@@ -280,7 +285,7 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.col(text).alias("t"))
-    rows = rows.mapInArrow(prepare, f"doc_id {kind}, key long, n long, sign binary, prefix array<long>")
+    rows = rows.mapInArrow(prepare, f"doc_id {kind}, key struct<x:long,y:long>, n long, sign binary, prefix array<long>")
     sets = stage(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     classes = stage(sets.filter("n > 0").groupBy("sign").agg(F.min("row").alias("class"), F.min("doc_id").alias("class_id")), "classes")
@@ -333,27 +338,37 @@ def _grouped(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Dat
     if found.limit(1).count():
         roots = stage(components(found if links is None else links.unionByName(found)), "roots")
 
-    member = member.select("row", "key", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    named = member.select("row", "key", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     # a document without shingles is a component of its own
-    return stage(_with_roots(member, roots).withColumn("root", F.coalesce("root", -F.col("row") - 1)).drop("class"), "grouped")
+    alone = F.coalesce("class", -F.col("row") - 1)
+    if roots is None:
+        return named.withColumns({"root": alone, "component_id": F.col("class_id")})
+    # only classes with links need a name other than their own
+    linked = stage(sized_join(classes.select("class", "class_id"), roots.withColumnRenamed("node", "class"), "class", "inner"), "linked")
+    lowest = linked.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    linked = stage(sized_join(linked.select("class", "root"), stage(lowest, "lowest"), "root", "inner"), "component-names")
+    found = sized_join(named, linked, "class", "left")
+    return found.withColumns({"component_id": F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")), "root": F.coalesce("root", alone)})
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id; one row per row of docs."""
-    found = _grouped(docs, settings, doc_id, text)
-    lowest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    return _grouped(docs, settings, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows without shingles all stay."""
-    found = _grouped(docs, settings, doc_id, text)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("key")))["key"].alias("key_"), F.max("n").alias("n"))
-    copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").withColumnRenamed("key", "key_")
-    kept = stage(kept.groupBy("key_").agg(F.max("n").alias("n")).join(copies, "key_", "left").select("key_", ((F.col("n") > 0) & F.col("copies").isNotNull()).alias("repeated_")), "kept")
-    out = sized_join(docs.withColumn("key_", _key(doc_id, text)), kept, "key_", "inner")
+    """docs with one document of each component, the one with the smallest id (NULL first, then by key); rows without shingles all stay.
+
+    Of rows alike in id and text one stays. Columns pass through, whatever their names.
+    """
+    found = stage(_grouped(docs, settings, doc_id, text), "grouped")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"), F.max("n").alias("n"))
+    copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    kept = kept.groupBy("key").agg(F.max("n").alias("n")).join(copies, "key", "left").select("key", ((F.col("n") > 0) & F.col("copies").isNotNull()).alias("repeated"))
+    out = docs.select(_key(doc_id, text).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = sized_join(out, stage(kept, "kept"), "key", "inner")
     # only rows that are alike in id and text need a shuffle to leave one of them
-    return out.filter("not repeated_").unionByName(out.filter("repeated_").dropDuplicates(["key_"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.filter("not repeated").select("row.*").unionByName(out.filter("repeated").dropDuplicates(["key"]).select("row.*"))
 
 
 def _of_classes(sets: DataFrame, others: DataFrame, limit: int = 2_000_000) -> DataFrame:
@@ -386,17 +401,27 @@ def _group_pairs(many: DataFrame, begun: DataFrame, settings: Settings) -> DataF
     A shingle's documents are dealt to blocks; each pair of blocks is a task's work, so no group has a bound.
     """
     percent = settings.percent
-    blocks = F.ceil(F.col("k") / settings.group_block).cast("int")
-    own = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).select("s", "class", "root", "block", "blocks")
-    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("s", "class", "root", "block", met.alias("with_")).select("s", "class", "root", "block", F.least("block", "with_").alias("i"), F.greatest("block", "with_").alias("j"))
-    dealt = stage(dealt, "blocks").join(begun, "class").select("s", "i", "j", "class", "root", "block", "n", "found")
+    # sets that link are of one size band or of neighbouring ones
+    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
+    own = many.select("s", "class", "root", band.alias("band"))
+    sizes = own.groupBy("s", "band").agg(F.ceil(F.count(F.lit(1)) / settings.group_block).cast("int").alias("blocks"))
+    sizes = stage(sizes.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands")), "bands")
+    own = sized_join(own, sizes, "s", "inner")
+    blocks = lambda k: F.coalesce(F.try_element_at("bands", F.col("band") + k), F.lit(0))
+    own = own.withColumn("block", F.pmod(F.xxhash64("class"), blocks(0)).cast("int"))
+    at, none = F.struct("band", "block"), F.array().cast("array<struct<band:int,block:int>>")
+    met = lambda k: F.when(blocks(k) > 0, F.transform(F.sequence(F.lit(1), blocks(k)), lambda j: F.struct((F.col("band") + k).alias("band"), (j - 1).alias("block")))).otherwise(none)
+    others = F.concat(met(-1), met(0), met(1))
+    dealt = own.select("s", "class", "root", at.alias("at"), F.explode(others).alias("with_")).select("s", "class", "root", "at", F.least("at", "with_").alias("i"), F.greatest("at", "with_").alias("j"))
+    # comparing takes longer than its few bytes tell: many parts
+    parts = 4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(dealt, "blocks").join(begun, "class").select("s", "i", "j", "class", "root", "at", "n", "found").repartition(parts, "s", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lists = table.column("found").chunk(0)
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint64)
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("class", "root", "block", "n")), strict=True))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("class", "root", "at", "n")), strict=True))
         low, alike = table.column("i")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
         tree, root_of = Tree(flat[:0], 0), {c: r for c, r, _, _ in rows}
         for i, (c, _, block, n) in enumerate(rows):
@@ -427,12 +452,11 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, doc_id:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        frequent, places = shared.value
+        order = Order(*shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part, classes, repeats, sets = batch.slice(i, 256), [], [], [np.zeros(0, np.uint64)]
-                for c, sign, repeated, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    found = in_order(shingles(t, n), frequent, places)
+            for part in slices(batch, 3, 256):
+                classes, repeats, sets = [], [], [np.zeros(0, np.uint64)]
+                for c, sign, repeated, found in zip(*(x.to_pylist() for x in part.columns[:3]), map(order.of, shingle_sets(part.column(3), n)), strict=True):
                     if xxhash.xxh3_128_digest(found.tobytes()) == sign:
                         classes.append(c)
                         repeats.append(bool(repeated))
@@ -455,7 +479,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     dealt = stage(dealt.select("lead", "part", "class"), "dealt")
     leads = dealt.select(F.col("lead").alias("id"), "lead", "part", F.lit(None).cast("long").alias("class")).distinct()
     roles = dealt.select(F.col("class").alias("id"), "lead", "part", "class").unionByName(leads)
-    rows = sized_join(sets.withColumnRenamed("class", "id"), roles, "id", "inner", 1_000_000)
+    rows = sized_join(sets.withColumnRenamed("class", "id"), roles, "id", "inner")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

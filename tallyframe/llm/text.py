@@ -15,8 +15,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: str, how: str, limit: int = 2_000_000) -> DataFrame:
-    """Join that broadcasts a narrow right side only when it was counted to have few rows; otherwise both sides are shuffled."""
+#: Bytes a value of a type takes, about; anything else is taken to be text.
+WIDTHS = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
+BROADCAST_BYTES = 48 << 20
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str, how: str, limit: int | None = None) -> DataFrame:
+    """Join that broadcasts a narrow right side only when it was counted to have few rows; otherwise both sides are shuffled.
+
+    limit: rows, otherwise as many as BROADCAST_BYTES hold by the widths of their types and 24 bytes of a hash table.
+    """
+    if limit is None:
+        limit = BROADCAST_BYTES // (24 + sum(WIDTHS.get(kind, 40) for _, kind in right.dtypes))
     if right.limit(limit + 1).count() <= limit:
         right = F.broadcast(right)
     return left.join(right, on, how)

@@ -338,7 +338,7 @@ def test_top_k(spark, copies):
 def brute_groups(rows, n, percent):
     sets = []
     for _, t in rows:
-        w = (t or "").encode().translate(ngram_join.LOWER).split()
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         k = min(n, len(w))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
     parent = list(range(len(rows)))
