@@ -31,18 +31,18 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _cuttable(text: str) -> bool:
-    return not (not text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in SPACED) or "<|" in text or OTHER_SPACE.search(text))
+def _cuttable(text: str, special: list[str]) -> bool:
+    return not (not text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in SPACED) or any(s in text for s in special) or OTHER_SPACE.search(text))
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text."""
+    """Texts to little-endian unsigned 32-bit ids, those of one plain encode call: the string of a special token is that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.inner: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,7 +106,7 @@ class Encoder:
         """NULL counts as empty."""
         texts = [t or "" for t in texts]
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not _cuttable(t)]
+        whole = [i for i, t in enumerate(texts) if not _cuttable(t, self.special)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         cut = {i: texts[i].replace("\n", " \n").split(" ") for i in range(len(texts)) if out[i] is None}

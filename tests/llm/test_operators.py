@@ -144,15 +144,15 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 def test_encoder(texts, reference_ids):
-    odd = ["", " a", "a ", "x  y", "I'm don't 'quoted' it's", "a\tb", "a\n\nb", "naïve—dash “q” 12,5 3rd...", "<|endoftext|> hi", "foo\n bar \nbaz", "a.\nB,c!!! d***", "日本語 テスト。 ok", "x'll, y's. z'", "a_b, c-d; 1st, 2nd!", None]
+    odd = ["", " a", "a ", "x  y", "I'm don't 'quoted' it's", "a\tb", "a\n\nb", "naïve—dash “q” 12,5 3rd...", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|>\n<|endoftext|>", "<|endo ftext|> <|", "foo\n bar \nbaz", "a.\nB,c!!! d***", "日本語 テスト。 ok", "x'll, y's. z'", "a_b, c-d; 1st, 2nd!", None]
     odd += [r[1] for r in texts]
     got = tokens.Encoder.of("byte_bpe_50k.json").encode(odd)
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in got] == [reference_ids(s) for s in odd]
+    assert reference_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_packing(spark, docs, texts, reference_ids):
