@@ -260,56 +260,74 @@ def test_classifier(spark):
     assert {r.score for r in quality_classifier.score(df, quality_classifier.fit(df, labels.limit(0))).collect()} == {0.5}
 
 
+def lm_brute(rows, targets, settings=lm_scoring.Settings()):
+    """Scores by plain counting, each document out of both models; and the counts."""
+    texts = [(d, WORD.findall(t or "")) for d, t in rows]
+    word, pair, context = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    total = [0, 0]
+
+    def own(ws):
+        seq = [*ws, ("end",)]
+        return collections.Counter(seq), collections.Counter(zip([("start",), *ws], seq)), collections.Counter([("start",), *ws])
+
+    for d, ws in texts:
+        for k in (0, 1) if d in targets else (1,):
+            if ws:
+                for counter, c in zip((word, pair, context), own(ws)):
+                    counter[k].update(c)
+                total[k] += len(ws) + 1
+    types, scale = len(word[1]), (1.0, total[0] / total[1])
+    out = []
+    for d, ws in texts:
+        loss = [0.0, 0.0]
+        if ws:
+            w, p, c = own(ws)
+            for k in (0, 1):
+                minus = 1 if k or d in targets else 0
+                for b, x in zip([("start",), *ws], [*ws, ("end",)]):
+                    counts = (pair[k][b, x] - minus * p[b, x], context[k][b] - minus * c[b], word[k][x] - minus * w[x], total[k] - minus * (len(ws) + 1))
+                    loss[k] -= math.log(lm_scoring.probability(*(scale[k] * n for n in counts), types, settings))
+        out.append((str(d), len(ws), loss[0] / (len(ws) + 1), loss[1] / (len(ws) + 1)))
+    return sorted(out), (word, pair, context, total, types, scale)
+
+
 def test_lm_scores(spark):
     rng = random.Random(4)
     ship(spark)
     own = lambda ws: " ".join(rng.choices(ws, k=80))
-    rows = [(i, own(["blue", "sea", "wave", "and", "the"])) for i in range(40)] + [(100 + i, own(["law", "court", "case", "and", "the"])) for i in range(40)] + [(300, None), (301, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm_scoring.fit(df, df.filter("doc_id < 20"))
-    got = {r.doc_id: r for r in lm_scoring.score(df, model).collect()}
+    rows = [(i, own(["blue", "sea", "wave", "and", "the"])) for i in range(40)] + [(100 + i, own(["law", "court", "case", "and", "the"])) for i in range(40)]
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "once"), (303, "once"), (None, "the sea"), (304, "the sea " * 20_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, chunk string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(df, df.filter("doc_id < 20")).collect()}
     assert min(got[i].score for i in range(40)) > max(got[100 + i].score for i in range(40))
-    assert got[300].score == got[301].score == 0 and got[300].n_words == 0
-    n = collections.Counter(w for _, t in rows for w in (t or "").split())
-    background = model.words[1] * n.total() / model.words[1].sum()
-    assert {w.decode(): round(background[i]) for w, i in model.vocabulary.items()} == dict(n)
-    for d in (3, 120):
-        ids = lm_scoring.word_ids(dict(rows)[d], model.vocabulary)
-        loss, before = 0.0, lm_scoring.START
-        for w, cell in zip(ids, lm_scoring.cells(ids, 18)):
-            m = model.settings.bigram_mass
-            loss -= math.log((model.bigrams[0, cell] + m * model.single[0, w]) / (max(model.context[0, before], model.bigrams[0, cell]) + m))
-            before = w
-        assert got[d].target_loss == pytest.approx(loss / len(ids))
+    assert got[300].score == got[301].score == got[302].score == 0 and got[300].n_words == 0
+    # a target's own words do not raise its score: those left out of the targets score alike
+    mean = lambda ids: sum(got[i].score for i in ids) / len(ids)
+    assert abs(mean(range(20)) - mean(range(20, 40))) < 0.1
+    assert lm_scoring.cross_entropy_difference(df, df.limit(0)).filter("score is null").count() == 0
+
+
+def test_lm_probabilities_add_up():
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdefg", k=rng.randint(1, 30)))) for i in range(50)] + [(99, "rare")]
+    _, (word, pair, context, total, types, scale) = lm_brute(rows, set(range(9)))
+    for k in (0, 1):
+        for c in [("start",), "a", "g", "rare", "unseen"]:
+            p = [lm_scoring.probability(*(scale[k] * n for n in (pair[k][c, w], context[k][c], word[k][w], total[k])), types, lm_scoring.Settings()) for w in word[1]]
+            assert sum(p) == pytest.approx(1, abs=1e-9)
 
 
 def test_lm_scores_count_every_word_and_pair(spark, monkeypatch):
-    """More words than 65,536 and more pairs than 2^18, over several chunks and buckets."""
+    """Many words and pairs, over several chunks and buckets."""
     rng = random.Random(6)
     ship(spark)
     monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 60_000)
     monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 50_000)
-    rows = [(i, " ".join(f"w{rng.randrange(80_000)}" for _ in range(400))) for i in range(1000)] + [(5000, None), (5001, ""), (7, "w1 once w2"), (None, "w1 w2")]
+    rows = [(i, " ".join(f"w{rng.randrange(80_000)}" for _ in range(400))) for i in range(1000)] + [(5000, None), (5001, ""), (7, "w1 once w2"), (None, "w1 w2"), (None, "w1 w2")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = lm_scoring.cross_entropy_difference(df, df.filter("doc_id < 300")).collect()
-    count = collections.Counter(w for _, t in rows for w in (t or "").split())
-    texts = [(d, [w if count[w] > 1 else "" for w in (t or "").split()]) for d, t in rows]
-    single, pair = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
-    for d, ws in texts:
-        for k in (0, 1) if d is not None and d < 300 else (1,):
-            single[k].update(ws)
-            pair[k].update(zip([None, *ws], ws))
-    types, total = 2 + len(set(single[1]) - {""}), [s.total() for s in single]
-    assert types > 65_536 and len(pair[1]) > 1 << 18
-
-    def loss(ws, k):
-        scale, out = total[0] / total[k], 0.0
-        for before, w in zip([None, *ws], ws):
-            n, p = scale * pair[k][before, w], (scale * single[k][w] + 0.5) / (total[0] + 0.5 * types)
-            out -= math.log((n + 50 * p) / (max(scale * single[k][before], n) + 50))
-        return out / max(1, len(ws))
-
-    want = sorted((str(d), len(ws), loss(ws, 0), loss(ws, 1)) for d, ws in texts)
+    want, (_, pair, *_) = lm_brute(rows, set(range(300)))
+    assert len(pair[1]) > 1 << 18
     found = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in got)
     assert [r[:2] for r in found] == [r[:2] for r in want]
     assert np.allclose([r[2:] for r in found], [r[2:] for r in want], rtol=1e-9)
