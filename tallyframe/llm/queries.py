@@ -170,18 +170,37 @@ WITH d AS (
     SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS certain FROM plan
 ), r AS (
     SELECT *, greatest(0, target - certain * source_size) AS rest FROM rates
-), ranked AS (
-    SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.certain, r.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS UNBOUNDED PRECEDING) AS run
-    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), m AS (
+    SELECT d.doc_id, d.source, d.size, d.u, length(bin(d.size)) AS c, r.source_size, r.target, r.certain, r.rest, d.size > 0 AND d.size <= r.rest AS may FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), classes AS (
+    SELECT source, c, sum(size) AS n, any_value(rest) AS rest FROM m WHERE may GROUP BY source, c
+), units AS (
+    SELECT source, c, (rest - coalesce(sum(n) OVER (PARTITION BY source ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(n * pow(2.0::DOUBLE, c)) OVER (PARTITION BY source ORDER BY c ROWS UNBOUNDED PRECEDING) AS unit FROM classes
+), tops AS (
+    SELECT source, coalesce(max(c) FILTER (unit * pow(2.0::DOUBLE, c) <= 1), -1) AS top, coalesce(arg_max(unit, c) FILTER (unit * pow(2.0::DOUBLE, c) <= 1), 0) AS unit FROM units GROUP BY source
+), odds AS (
+    SELECT m.*, coalesce(may AND c > top, FALSE) AS sure, least(1 - 1e-9, greatest(1e-12, coalesce(unit, 0) * pow(2.0::DOUBLE, c))) AS p FROM m LEFT JOIN tops t ON m.source IS NOT DISTINCT FROM t.source
+), keys AS (
+    SELECT *, (u / (1 - u)) / (p / (1 - p)) AS k, rest - coalesce(sum(size) FILTER (sure) OVER (PARTITION BY source), 0) AS left_ FROM odds
+), firsts AS (
+    SELECT *, floor(k / (1 + k) * 281474976710656.0::DOUBLE) AS r, may AND NOT sure AS first FROM keys
+), one AS (
+    SELECT *, first AND sum(size) FILTER (first) OVER (PARTITION BY source ORDER BY r, doc_id ROWS UNBOUNDED PRECEDING) <= left_ AS in_ FROM firsts
+), two AS (
+    SELECT *, left_ - coalesce(sum(size) FILTER (in_) OVER (PARTITION BY source), 0) AS gap FROM one
+), seconds AS (
+    SELECT *, first AND NOT in_ AND size <= gap AS second FROM two
+), three AS (
+    SELECT *, second AND sum(size) FILTER (second) OVER (PARTITION BY source ORDER BY r, doc_id ROWS UNBOUNDED PRECEDING) <= gap AS also FROM seconds
 ), sampled AS (
-    SELECT *, CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS extra FROM ranked
+    SELECT *, in_ OR sure OR coalesce(also, FALSE) AS extra FROM three
 ), gaps AS (
-    SELECT *, rest - max(CASE WHEN extra = 1 THEN run ELSE 0 END) OVER (PARTITION BY source) AS gap FROM sampled
+    SELECT *, rest - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) AS open FROM sampled
 ), filler AS (
-    SELECT source, arg_min(doc_id, (abs(size - gap), u, doc_id)) AS best FROM gaps WHERE extra = 0 AND size > 0 AND size < 2 * gap GROUP BY source
+    SELECT source, arg_min(doc_id, (abs(size - open), u, doc_id)) AS best FROM gaps WHERE NOT extra AND size > 0 AND size < 2 * open GROUP BY source
 )
 SELECT g.doc_id, g.size, g.source_size, CAST(g.target AS DOUBLE) AS target,
-    CAST(g.size * least(2, g.certain + g.extra + CASE WHEN g.doc_id = f.best THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    CAST(g.size * least(2, g.certain + CAST(g.extra AS INTEGER) + CASE WHEN g.doc_id = f.best THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM gaps g LEFT JOIN filler f ON g.source IS NOT DISTINCT FROM f.source
 """
 

@@ -139,6 +139,26 @@ def test_mixing(spark, docs, texts):
     assert kept.columns == [*docs.columns, "copies"] and kept.agg(F.sum("copies")).first()[0] == sum(r.copies for r in got)
 
 
+def test_mixing_goes_by_size(spark):
+    """Inclusion rates go by the class of sizes, classes beyond 1 are certain, and what is over is dealt to the others."""
+    rng = random.Random(11)
+    sizes = [rng.choice((3, 6, 12, 24)) for _ in range(4000)] + [1500] * 10
+    df = spark.createDataFrame([(i, n, "a", "w") for i, n in enumerate(sizes)], "doc_id long, n long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(df, size=F.col("n"), share=0.5).collect()}
+    total = sum(sizes)
+    assert abs(sum(r.taken for r in got.values()) - total / 2) <= 3
+    assert all(r.copies == 1 for r in got.values() if r["size"] == 1500)
+    rate = {n: sum(r.copies for r in got.values() if r["size"] == n) / sizes.count(n) for n in (3, 6, 12, 24)}
+    unit = (total / 2 - 15_000) / sum(n * 2 ** n.bit_length() for n in sizes if n < 1500)
+    assert all(abs(rate[n] - unit * 2 ** n.bit_length()) < 0.06 for n in rate) and unit * 32 < 1
+    # a text too long for what is left is passed over
+    few = spark.createDataFrame([(0, 400, "a", ""), *((i, 6, "a", "") for i in range(1, 101))], "doc_id long, n long, source string, text string")
+    assert 290 <= sum(r.taken for r in mixing.mix(few, size=F.col("n"), share=0.3).collect()) <= 310
+    # thousands of rows with one id
+    one = spark.createDataFrame([(7, 5, "a", f"t{i % 3}") for i in range(3000)], "doc_id long, n long, source string, text string")
+    assert sum(r.taken for r in mixing.mix(one, size=F.col("n"), share=0.5).collect()) == 7500
+
+
 @pytest.fixture(scope="module")
 def reference_ids():
     from tokenizers import Tokenizer
