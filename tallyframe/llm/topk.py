@@ -1,90 +1,120 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries are taken in blocks of bounded size. A block's tree goes to all tasks; each
-task builds trees over batches of its own rows and walks both trees together. A pair
-of nodes is skipped when no inner product between them can reach the worst kth score
-of the query node: for centres a, b and covering radii r, s it is at most
-a.b + r|b| + s|a| + r s, and at most the product of the largest norms. Each task hands
-on k rows a query; the best k of those are the result.
-
-Trees are built by farthest-first choice of centres, so that centres of a node lie at
-least as far apart as the radius that covers its points, down to leaves of leaf_size.
+Queries lie in blocks of bounded size. Tasks build a cover tree of each block once and
+write it to the shared folder; then, in one job over all rows, each task builds trees of
+batches of its rows and walks each block's tree together with them. A pair of nodes is
+skipped when no inner product between them can reach the worst kth score of the query
+node: for centres a, b and covering radii r, s it is at most a.b + r|b| + s|a| + r s,
+and at most the product of the largest norms. A block's tree is first walked with
+itself, so every query begins with the kth best score among its block's other queries,
+below which nothing counts. Each batch hands on at most k rows a query; the best k of
+those are the result.
+
+A tree is levelled: a node of level l holds points within 2^l of its centre, its
+children's centres are points of it, more than 2^(l-1) apart from each other, and each
+of its points lies within 2^(l-1) of its child's centre. Levels without a choice are
+left out. A node is a leaf when it has few points, or when more than SOME and one in SPREAD of
+its points would be a centre: such points lie too far apart for their radii to tell.
 Equal vectors of a batch are held once, with the k + 1 smallest ids: more can never be
 among the k best of a query, its own id taken out.
 
-Components are integers, so scores are exact: 64-bit floating point while no partial
-sum can pass 2^53, else 64-bit integers. Ties go to the smaller id. Vectors that are
-NULL or hold NULL or non-finite components take no part, neither do those of another
-dimension than the query's. Rows with the query's id are its own. Of query rows with
-one id one is used, the smallest vector.
+Components are whole numbers, so scores are exact: 64-bit floating point while no partial
+sum can pass 2^53, else 64-bit integers; vectors whose scores might pass 2^63 raise an
+error. Ties go to the smaller id. Vectors that are NULL, empty or hold NULL or non-finite
+components take no part, neither do those of another dimension than the query's, nor NULL
+ids. Rows with the query's id are its own. Of query rows with one id one is used, the
+smallest vector. Without rows, or without queries, the result is empty. Only the id and
+the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.storage import fresh_path
+from tallyframe.storage import stage
 
 EXACT = float(1 << 53)
 LOWEST = np.iinfo(np.int64).min
+SPREAD = 8
+SOME = 256
+#: Scores worked out at once.
+SCORES = 1 << 22
 
 
 @dataclass
 class Node:
     center: np.ndarray
-    radius: float
+    level: int
+    radius: float  # of the points below, at most 2^level
     norm: float  # of the centre
     largest: float  # norm of any point below
-    children: list[Node] | None
-    points: np.ndarray  # row numbers, for a leaf
+    points: np.ndarray  # row numbers of all points below
+    children: list[Node] | None = None
 
 
-def cover_tree(x: np.ndarray, leaf_size: int = 128, fanout: int = 16) -> Node | None:
+def cover_tree(x: np.ndarray, leaf_size: int = 4) -> Node | None:
     """A tree over the rows of x (float64)."""
     if not len(x):
         return None
     norms = np.sqrt((x * x).sum(1))
 
-    def grow(rows: np.ndarray, center: int) -> Node:
-        d = np.sqrt(((x[rows] - x[center]) ** 2).sum(1))
+    def far(rows: np.ndarray, center: int) -> np.ndarray:
+        return np.sqrt(((x[rows] - x[center]) ** 2).sum(1))
+
+    def node(rows: np.ndarray, center: int, d: np.ndarray) -> Node:
         radius = float(d.max())
-        node = Node(x[center], radius * (1 + 1e-12), float(norms[center]), float(norms[rows].max()), None, rows)
-        if len(rows) <= leaf_size or radius == 0:
-            return node
-        centers, owner = [center], np.zeros(len(rows), np.int64)
-        while len(centers) < fanout and d.max() > radius / 2:
+        return Node(x[center], int(np.ceil(np.log2(radius))) if radius else 0, radius, float(norms[center]), float(norms[rows].max()), rows)
+
+    every = np.arange(len(x))
+    root = node(every, 0, far(every, 0))
+    work = [(root, 0, far(every, 0))]
+    while work:
+        top, center, d = work.pop()
+        rows = top.points
+        if len(rows) <= leaf_size or top.radius == 0:
+            continue
+        apart, centers, owner = 2.0 ** (top.level - 1), [center], np.zeros(len(rows), np.int64)
+        most = max(SOME, len(rows) // SPREAD)
+        while d.max() > apart and len(centers) <= most:
             new = int(rows[int(d.argmax())])
-            to_new = np.sqrt(((x[rows] - x[new]) ** 2).sum(1))
+            to_new = far(rows, new)
             nearer = to_new < d
             owner[nearer], d = len(centers), np.minimum(d, to_new)
             centers.append(new)
-        parts = [rows[owner == i] for i in range(len(centers))]
-        if max(map(len, parts)) == len(rows):
-            return node
-        node.children = [grow(p, c) for p, c in zip(parts, centers, strict=True) if len(p)]
-        node.points = rows[:0]
-        return node
-
-    return grow(np.arange(len(x)), 0)
+        if d.max() > apart:
+            continue
+        top.children = []
+        for i, c in enumerate(centers):
+            mine = owner == i
+            child = node(rows[mine], c, d[mine])
+            top.children.append(child)
+            work.append((child, c, d[mine]))
+    return root
 
 
 class Best:
     """The k best (score, id) of each query so far; empty places have the lowest score."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.own = ids
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.own, self.floor = ids, np.full(len(ids), LOWEST, np.int64) if floor is None else floor
         self.score = np.full((len(ids), k), LOWEST, np.int64)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
 
+    def least(self) -> np.ndarray:
+        """What a score must reach to count: the kth so far, or a bound known before."""
+        return np.maximum(self.score[:, -1], self.floor)
+
     def offer(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        hit = (scores >= self.score[queries, -1][:, None]) & (ids[None, :] != self.own[queries][:, None])
+        hit = (scores >= self.least()[queries][:, None]) & (ids[None, :] != self.own[queries][:, None])
         some = hit.any(1)
         if not some.any():
             return
@@ -97,29 +127,36 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def dual_search(tree: Node, q: np.ndarray, other: Node, x: np.ndarray, ids: np.ndarray, best: Best, exact: bool) -> None:
-    """Bring best up to date with the rows of x."""
+def exact_in(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether scores are exact in floating point; an error where 64-bit integers do not hold them."""
+    bound = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
+    if not bound < float(1 << 63):
+        raise ValueError("scores beyond 64 bits")
+    return bound < EXACT
 
-    def below(node: Node) -> np.ndarray:
-        return node.points if node.children is None else np.concatenate([below(c) for c in node.children])
 
-    every: dict[int, np.ndarray] = {}
-    stack = [(tree, other)]
+def dual_search(tree: Node, q: np.ndarray, other: Node, x: np.ndarray, ids: np.ndarray, best: Best) -> int:
+    """Bring best up to date with the rows of x; returns how many pairs were scored."""
+    exact, scored, stack = exact_in(q, x), 0, [(tree, other)]
     while stack:
         a, b = stack.pop()
-        if id(a) not in every:
-            every[id(a)] = below(a)
         bound = min(float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius, a.largest * b.largest)
-        if bound * (1 + 1e-9) + 1e-6 < best.score[every[id(a)], -1].min():
+        least = best.least()[a.points].min()
+        if bound + abs(bound) * 1e-9 + 1e-6 < least:
             continue
         if a.children is None and b.children is None:
-            scores = (q[a.points] @ x[b.points].T) if exact else q[a.points].astype(np.int64) @ x[b.points].astype(np.int64).T
-            best.offer(a.points, ids[b.points], scores.astype(np.int64))
-            continue
-        if b.children is None or (a.children is not None and a.radius > b.radius):
+            step = max(1, SCORES // len(a.points))
+            for i in range(0, len(b.points), step):
+                some = b.points[i : i + step]
+                scores = (q[a.points] @ x[some].T) if exact else q[a.points].astype(np.int64) @ x[some].astype(np.int64).T
+                best.offer(a.points, ids[some], scores.astype(np.int64))
+            scored += len(a.points) * len(b.points)
+        elif b.children is None or (a.children is not None and (least == LOWEST or a.radius > b.radius)):
+            # queries without a bound part first, so that each finds its own
             stack += [(c, b) for c in a.children]
         else:  # the most promising last, so that it is walked first
             stack += [(a, c) for c in sorted(b.children, key=lambda c: float(a.center @ c.center))]
+    return scored
 
 
 def distinct_vectors(x: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,61 +173,82 @@ def integer_components(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, NULL if the vector takes no part."""
     x = F.transform(vector, lambda v: v.cast("double"))
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(vector.isNotNull() & sound & (F.size(vector) > 0), F.transform(x, lambda v: F.floor(v * scale).cast("double")))
+    return F.when(vector.isNotNull() & sound & (F.size(vector) > 0), F.transform(x, lambda v: F.when(F.abs(v * scale) < EXACT, F.floor(v * scale).cast("double")).otherwise(v * scale)))
+
 
+def vectors(ids: pa.Array, values: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors by dimension."""
+    sizes, starts = np.diff(values.offsets.to_numpy()), values.offsets.to_numpy()[:-1]
+    flat, ids = values.values.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+    found = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        found[d] = (ids[at], flat[starts[at][:, None] + np.arange(d)])
+    return found
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, block: int = 8192, batch: int = 8192, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
+
+def query_trees(queries: DataFrame, k: int, block: int) -> DataFrame:
+    """dimension, tree: a block of queries (id, v) a row, pickled: ids, vectors, their tree and the score that counts for each."""
+    blocks = max(1, -(-queries.count() // block))
+
+    def build(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rows = []
+        for d, (ids, q) in vectors(group.column("id").chunk(0), group.column("v").chunk(0)).items():
+            order = np.argsort(ids)
+            ids, q = ids[order], q[order]
+            tree, best = cover_tree(q), Best(ids, k)
+            dual_search(tree, q, tree, q, ids, best)
+            rows.append({"dimension": d, "tree": pickle.dumps((ids, q, tree, best.score[:, -1]), protocol=5)})
+        return pa.Table.from_pylist(rows, pa.schema([("dimension", pa.int32()), ("tree", pa.binary())]))
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return stage(dealt.groupBy("block").applyInArrow(build, "dimension int, tree binary"), "query-trees")
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, block: int = 8192, batch: int = 32_768, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best among all other rows."""
-    spark = rows.sparkSession
     sound = rows.select(F.col(vec_id).cast("long").alias("id"), integer_components(F.col(vector), scale).alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    queries = sound.filter("q").groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
-    folder = fresh_path(spark, "top-k")
-    schema = "query_id long, vec_id long, score long"
-    for b in range(blocks):
-        table = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        by_size: dict[int, tuple[list, list]] = {}
-        for i, v in sorted(zip(table.column("id").to_pylist(), table.column("v").to_pylist(), strict=True)):
-            ids, vs = by_size.setdefault(len(v), ([], []))
-            ids.append(i)
-            vs.append(v)
-        held = {d: (np.array(ids, np.int64), np.array(vs, float)) for d, (ids, vs) in by_size.items()}
-        shared = spark.sparkContext.broadcast({d: (ids, q, cover_tree(q)) for d, (ids, q) in held.items()})
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            best = {d: Best(ids, k) for d, (ids, _, _) in own.items()}
-            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in own}
-
-            def work(d: int) -> None:
-                if not waiting[d]:
-                    return
-                ids, x = (np.concatenate(c) for c in zip(*waiting[d], strict=True))
-                waiting[d].clear()
+    queries = stage(sound.filter("q").groupBy("id").agg(F.min("v").alias("v")), "queries")
+    files = sorted(query_trees(queries, k, block).inputFiles())
+
+    def trees() -> Iterator[tuple[int, tuple]]:
+        import pyarrow.parquet as pq
+
+        for path in files:
+            system, inner = fs.FileSystem.from_uri(path)
+            with system.open_input_file(inner) as f:
+                for part in pq.ParquetFile(f).iter_batches(1):
+                    yield part.column("dimension")[0].as_py(), pickle.loads(part.column("tree")[0].as_py())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def work() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            own = {}
+            for d, (ids, x) in vectors(table.column("id").chunk(0), table.column("v").chunk(0)).items():
                 x, ids = distinct_vectors(x, ids, k + 1)
-                _, q, tree = own[d]
-                exact = float(np.abs(q).max()) * float(np.abs(x).max()) * d < EXACT
-                dual_search(tree, q, cover_tree(x), x, ids, best[d], exact)
-
-            for part in batches:
-                ids, vectors = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
-                sizes = np.diff(vectors.offsets.to_numpy())
-                flat, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
-                for d in own:
-                    at = np.flatnonzero(sizes == d)
-                    for i in range(0, len(at), batch):
-                        take = at[i : i + batch]
-                        waiting[d].append((ids[take], flat[starts[take][:, None] + np.arange(d)]))
-                        if sum(len(w[0]) for w in waiting[d]) >= batch:
-                            work(d)
-            for d, b in best.items():
-                work(d)
-                full = b.id != np.iinfo(np.int64).max
-                owner = np.broadcast_to(b.own[:, None], full.shape)[full]
-                for i in range(0, len(owner), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[i : i + 50_000]), pa.array(b.id[full][i : i + 50_000]), pa.array(b.score[full][i : i + 50_000])], ["query_id", "vec_id", "score"])
-
-        sound.select("id", "v").mapInArrow(search, schema).write.mode("append").parquet(folder)
-    found = spark.read.schema(schema).parquet(folder)
+                own[d] = (ids, x, cover_tree(x))
+            for d, (query_ids, q, tree, floor) in trees():
+                if d in own:
+                    ids, x, other = own[d]
+                    best = Best(query_ids, k, floor)
+                    dual_search(tree, q, other, x, ids, best)
+                    full = best.id != np.iinfo(np.int64).max
+                    owner = np.broadcast_to(query_ids[:, None], full.shape)[full]
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(best.id[full]), pa.array(best.score[full])], ["query_id", "vec_id", "score"])
+
+        for part in batches:
+            if part.num_rows:
+                waiting.append(part)
+            if sum(w.num_rows for w in waiting) >= batch:
+                yield from work()
+        yield from work()
+
+    found = sound.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -373,6 +373,54 @@ def test_top_k(spark, copies):
         assert got[q] == [(i, -s) for s, i in best]
 
 
+def test_top_k_edges(spark):
+    ship(spark)
+    kind = "vec_id long, embedding array<double>, id string, rank int"
+    none = spark.createDataFrame([], kind)
+    assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
+    rows = [(0, [1.0, 2.0], "x", 1), (0, [9.0, 9.0], "x", 1), (1, [3.0, 1.0], "x", 1), (None, [1.0, 1.0], "x", 1), (2, [], "x", 1), (3, [3.0, 1.0], "x", 1)]
+    got = topk.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 5 * 65536), (3, 5 * 65536)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e300], "", 0), (1, [1e300], "", 0)], kind), F.col("vec_id") == 0).collect()
+
+
+def clustered(n, centers, spread, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centers, 16)) * 1000
+    return np.floor(middle[rng.integers(0, centers, n)] + rng.normal(size=(n, 16)) * spread)
+
+
+def test_cover_tree_keeps_its_invariants():
+    for x in (clustered(3000, 40, 20), np.floor(np.random.default_rng(1).normal(size=(500, 2)) * 1e4), np.zeros((50, 3))):
+        tree, stack = topk.cover_tree(x), []
+        assert sorted(tree.points.tolist()) == list(range(len(x)))
+        stack, internal = [tree], 0
+        while stack:
+            node = stack.pop()
+            assert np.sqrt(((x[node.points] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-6 and node.radius <= 2.0**node.level
+            if node.children:
+                internal += 1
+                centers = np.array([c.center for c in node.children])
+                apart = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(2)) + np.eye(len(centers)) * 1e18
+                assert apart.min() > 2.0 ** (node.level - 1) and all(c.radius <= 2.0 ** (node.level - 1) for c in node.children)
+                assert sorted(np.concatenate([c.points for c in node.children]).tolist()) == sorted(node.points.tolist())
+                stack += node.children
+        assert internal or not x.any()
+
+
+def test_dual_search_prunes():
+    """On clustered vectors most pairs are never scored, and the result is that of all pairs."""
+    x = clustered(6000, 60, 15)
+    q, ids = x[::50], np.arange(len(x))
+    best = topk.Best(ids[::50], 5)
+    scored = topk.dual_search(topk.cover_tree(q), q, topk.cover_tree(x), x, ids, best)
+    assert scored < 0.2 * len(q) * len(x)
+    for i, row in enumerate(q @ x.T):
+        want = sorted(((-int(v), j) for j, v in enumerate(row) if j != ids[::50][i]))[:5]
+        assert [(-int(v), int(j)) for v, j in zip(best.score[i], best.id[i])] == want
+
+
 def brute_groups(rows, n, percent):
     sets = []
     for _, t in rows:
