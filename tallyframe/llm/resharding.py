@@ -1,18 +1,22 @@
-"""Resharding by minimum-cost flow.
+"""Incremental resharding by minimum-cost flow.
 
-Documents lie in old shards (a hash of the id). New shards get equal byte
+Documents lie in old shards, each a folder of Parquet files. New shards get equal byte
 capacities. A flow from old shard sizes to new capacities, free where a byte stays
 in the shard of the same number and 1 a byte elsewhere, gives the transfers that
-move the fewest bytes. Each old shard is a line of blocks; whole blocks go to the
-shard whose stretch of the line they lie in, and only the few blocks on a border
-are divided, document by document. Then the shards' files are written anew.
-
-The flow's graph has old x new edges. The driver holds sizes of blocks, of which
-there are at most old_shards * max(blocks, documents / docs_per_block). Documents
-move in one shuffle, by shard and block, so no shard is gathered in one task.
-
-A document's size is its UTF-8 bytes plus 1; NULL text has size 1, and NULL as its
-checksum's text is empty. Rows alike are placed each for itself.
+move the fewest bytes. Each old shard is a line of files, in stretches for the shards
+that its bytes go to, its own one first. A file within one stretch stays where it is or
+moves whole; only files on a border are divided, their documents dealt, longest first,
+to the shard that lacks most. Files that stay are neither read nor written; moved and
+divided ones are written into their new shards, then deleted from the old ones.
+
+The flow's graph has old x new edges, and there are fewer divided files than old + new
+shards, of at most docs_per_file documents each: those are dealt in one task. The driver
+holds the totals of shards and the paths of the files that move, a document's place
+comes from its file and its row there. No document is shuffled.
+
+A document's size is its UTF-8 bytes plus 1; NULL text has size 1. Rows alike are placed
+each for itself; one id that many rows have makes a large old shard, not a large new one.
+An empty table has no files and gives no rows. Only id and text of the input are read.
 """
 
 from __future__ import annotations
@@ -20,21 +24,31 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.storage import fresh_path
+from tallyframe.llm.text import sized_join
+from tallyframe.storage import fresh_path, stage
 
 
 @dataclass(frozen=True)
 class Layout:
     old_shards: int = 12
     new_shards: int = 16
-    blocks: int = 256
-    docs_per_block: int = 100_000
-    writers: int = 8
-    writer_bytes: int = 128 << 20
+    docs_per_file: int = 8192
+
+
+@dataclass(frozen=True)
+class Moves:
+    """What a resharding did, in bytes and files."""
+
+    planned_bytes: int  # the flow's
+    moved_bytes: int  # of documents whose shard changed
+    written_bytes: int  # of documents in files that were written
+    written_files: int
+    kept_files: int
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -78,85 +92,107 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int
     return flow
 
 
-@dataclass
-class Plan:
-    flow: list[list[int]]
-    #: (old shard, block) to its shard when it goes whole
-    whole: dict[tuple[int, int], int]
-    #: (old shard, block) to (place of its first byte on the shard's line, [(end of stretch, shard), ...])
-    divided: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]
-
-    @property
-    def moved_bytes(self) -> int:
-        return sum(f for i, row in enumerate(self.flow) for j, f in enumerate(row) if i != j)
-
-
-def solve(sizes: dict[tuple[int, int], int], layout: Layout) -> Plan:
-    """The flow for the sizes of blocks, and where each block goes."""
-    supply = [0] * layout.old_shards
-    for (old, _), s in sizes.items():
-        supply[old] += s
-    total, n = sum(supply), layout.new_shards
-    flow = min_cost_flow(supply, [total // n + (j < total % n) for j in range(n)], lambda i, j: 0 if i == j else 1)
-    plan = Plan(flow, {}, {})
-    for old in range(layout.old_shards):
-        stretches, at = [], 0
-        for j in sorted(range(n), key=lambda j: (j != old, j)):
-            if flow[old][j]:
-                at += flow[old][j]
-                stretches.append((at, j))
-        begin = 0
-        for _, block in sorted(k for k in sizes if k[0] == old):
-            end = begin + sizes[old, block]
-            inside = [(e, j) for k, (e, j) in enumerate(stretches) if e > begin and (stretches[k - 1][0] if k else 0) < end]
-            if len(inside) == 1:
-                plan.whole[old, block] = inside[0][1]
-            else:
-                plan.divided[old, block] = (begin, inside)
-            begin = end
-    return plan
-
-
 def _size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def reshard(docs: DataFrame, layout: Layout = Layout(), folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write all documents to folder as Parquet, one directory a shard, and return them read back.
+def write_shards(docs: DataFrame, layout: Layout = Layout(), folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
+    """Write docs (doc_id, text, size) to folder, a directory a shard by a hash of the id; returns the folder."""
+    folder = folder or fresh_path(docs.sparkSession, "shards")
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.col(doc_id)), F.lit(layout.old_shards)).cast("int")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _size(F.col(text)).alias("size"), shard.alias("shard"))
+    rows.write.option("maxRecordsPerFile", layout.docs_per_file).partitionBy("shard").parquet(folder)
+    return folder
+
+
+def read_shards(spark: SparkSession, folder: str, kind: str, *paths: str) -> DataFrame:
+    """doc_id, text, size, shard, and path_ and row_: the file, and the place in it."""
+    rows = spark.read.schema(f"doc_id {kind}, text string, size long, shard int").option("basePath", folder).parquet(*(paths or (folder,)))
+    return rows.select("*", F.col("_metadata.file_path").alias("path_"), F.col("_metadata.row_index").alias("row_"))
+
+
+def listed(rows: DataFrame, name: str) -> DataFrame:
+    """shard, path_, bytes, n and the bytes and documents of the shard's files before it: one row a file."""
+    per = rows.groupBy("shard", "path_").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("path_").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(per.withColumns({"begin": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "base": F.coalesce(F.sum("n").over(before), F.lit(0))}), name)
+
+
+def stretches(flow: list[list[int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each old shard (first byte, end, shard that they go to), its own shard first."""
+    found = {}
+    for old, row in enumerate(flow):
+        at, found[old] = 0, []
+        for j in sorted(range(len(row)), key=lambda j: (j != old, j)):
+            if row[j]:
+                found[old].append((at, at + row[j], j))
+                at += row[j]
+    return found
+
+
+def deal(rows: list[tuple[str, int, int]], wanted: dict[str, dict[int, int]]) -> list[int]:
+    """A shard for each (file, place, size) of divided files. wanted: bytes of each file for each shard; what one file leaves open the next one makes up for."""
+    to, lack = [0] * len(rows), dict.fromkeys((j for w in wanted.values() for j in w), 0)
+    files: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        files.setdefault(r[0], []).append(i)
+    for path in sorted(files):
+        need = {j: n + lack[j] for j, n in wanted[path].items()}
+        for i in sorted(files[path], key=lambda i: (-rows[i][2], rows[i][1])):
+            to[i] = max(need, key=lambda j: (need[j], -j))
+            need[to[i]] -= rows[i][2]
+        lack |= need
+    return to
+
+
+def reshard(spark: SparkSession, folder: str, kind: str = "long", new_shards: int = 16) -> tuple[DataFrame, Moves]:
+    """Deal the documents of folder (see write_shards; ids of that type) to new_shards shards of near equal bytes, in place.
 
-    Columns: doc_id, text, size, slot, shard. Slots are gapless from 0 within a shard.
+    Returns doc_id, text, size, slot (gapless from 0 within a shard), shard, and what was done.
     """
-    spark = docs.sparkSession
-    folder = folder or fresh_path(spark, "shards")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _size(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
-    blocks = max(layout.blocks, docs.count() // (layout.old_shards * layout.docs_per_block))
-    old = F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id")), F.lit(layout.old_shards)).cast("int")
-    rows = rows.withColumn("old", old).withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int"))
-    per = {(r["old"], r["block"]): (r["size"], r["n"]) for r in rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-    plan = solve({k: s for k, (s, _) in per.items()}, layout)
-
-    where = "old int, block int, to int, first long, stretches array<struct<until:long,to:int>>"
-    places = [(*k, j, 0, None) for k, j in plan.whole.items()] + [(*k, None, b, s) for k, (b, s) in plan.divided.items()]
-    sent = rows.join(F.broadcast(spark.createDataFrame(places, where)), ["old", "block"])
-    line = Window.partitionBy("old", "block").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
-    middle = F.col("first") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    on_border = sent.filter(F.col("to").isNull()).withColumn("middle", middle)
-    target = F.coalesce(F.get(F.filter("stretches", lambda x: x["until"] > F.col("middle")), F.lit(0))["to"], F.element_at("stretches", -1)["to"])
-    on_border = on_border.withColumn("shard", target).drop("middle")
-    inside = sent.filter(F.col("to").isNotNull()).withColumn("shard", F.col("to"))
-
-    pieces = {(j, *k): per[k][1] for k, j in plan.whole.items()}
-    pieces |= {(r["shard"], r["old"], r["block"]): r["n"] for r in on_border.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, at = [], [0] * layout.new_shards
-    for (j, o, b), n in sorted(pieces.items()):
-        offsets.append((j, o, b, at[j]))
-        at[j] += n
-    #: blocks are whole in a writer's part, so slots need no further shuffle
-    writers = max(layout.writers, sum(s for s, _ in per.values()) // (layout.new_shards * layout.writer_bytes))
-    dealt = inside.unionByName(on_border).drop("to", "first", "stretches").withColumn("writer", F.pmod("block", F.lit(writers)))
-    dealt = dealt.join(F.broadcast(spark.createDataFrame(offsets, "shard int, old int, block int, base long")), ["shard", "old", "block"]).repartition("shard", "writer")
-    order = Window.partitionBy("shard", "writer", "old", "block").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
-    placed = dealt.withColumn("slot", (F.col("base") + F.row_number().over(order) - 1).cast("long"))
-    placed.select("doc_id", "text", "size", "slot", "shard").write.partitionBy("shard").parquet(folder)
-    kinds = docs.schema
-    return spark.read.schema(f"doc_id {kinds[doc_id].dataType.simpleString()}, text string, size long, slot long, shard int").parquet(folder)
+    old = listed(read_shards(spark, folder, kind), "old-files")
+    sums = {r["shard"]: r["bytes"] for r in old.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    supply = [sums.get(i, 0) for i in range(max([new_shards, *(i + 1 for i in sums)]))]
+    total = sum(supply)
+    flow = min_cost_flow(supply, [total // new_shards + (j < total % new_shards) for j in range(new_shards)], lambda i, j: 0 if i == j else 1)
+
+    lines = spark.createDataFrame([(i, x) for i, x in stretches(flow).items()], "shard int, stretches array<struct<first:long,end:long,to:int>>")
+    plan = old.join(F.broadcast(lines), "shard")
+    inside = F.filter("stretches", lambda x: (x["end"] > F.col("begin")) & (x["first"] < F.col("begin") + F.col("bytes")))
+    plan = stage(plan.withColumn("inside", inside).withColumn("to", F.when(F.size("inside") == 1, F.get("inside", F.lit(0))["to"])).drop("stretches"), "reshard-plan")
+    whole = plan.filter("to <> shard")
+    moved = {r["path_"]: r["bytes"] for r in whole.select("path_", "bytes").collect()}
+    divided = {r["path_"]: r for r in plan.filter("to IS NULL").collect()}
+    wanted = {p: {x["to"]: min(x["end"], r["begin"] + r["bytes"]) - max(x["first"], r["begin"]) for x in r["inside"]} for p, r in divided.items()}
+
+    left, columns, changed = [], ("doc_id", "text", "size", "shard"), sum(moved.values())
+    if moved:
+        rows = sized_join(read_shards(spark, folder, kind, *moved).drop("shard"), whole.select("path_", F.col("to").alias("shard")), "path_", "inner")
+        left.append(rows.select(*columns))
+    if divided:
+
+        def run(group: pa.Table) -> pa.Table:
+            rows = list(zip(*(group.column(c).to_pylist() for c in ("path_", "row_", "size")), strict=True))
+            return pa.table({"path_": group.column("path_"), "row_": group.column("row_"), "size": group.column("size"), "was": group.column("shard"), "shard": pa.array(deal(rows, wanted), pa.int32())})
+
+        on_border = read_shards(spark, folder, kind, *divided)
+        to = stage(on_border.select("path_", "row_", "size", "shard").groupBy().applyInArrow(run, "path_ string, row_ long, size long, was int, shard int"), "reshard-border")
+        changed += to.filter("was <> shard").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        left.append(sized_join(on_border.drop("shard", "size"), to.drop("was"), ["path_", "row_"], "inner").select(*columns))
+    kept = plan.count() - len(moved) - len(divided)
+    for rows in left:
+        rows.write.mode("append").partitionBy("shard").parquet(folder)
+    _delete(spark, [*moved, *divided])
+
+    now = listed(read_shards(spark, folder, kind), "new-files")
+    result = sized_join(read_shards(spark, folder, kind), now.select("path_", "base"), "path_", "inner")
+    planned = sum(f for i, row in enumerate(flow) for j, f in enumerate(row) if i != j)
+    done = Moves(planned, changed, sum(moved.values()) + sum(r["bytes"] for r in divided.values()), len(moved) + len(divided), kept)
+    return result.select("doc_id", "text", "size", (F.col("base") + F.col("row_")).alias("slot"), "shard"), done
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    """Files whose documents have been written anew."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)

@@ -509,18 +509,42 @@ def test_html_of_pages(spark):
         assert got[r.page_id] == " ".join(references.unescape(inner).split())
 
 
-def test_resharding(spark, docs, texts):
-    layout = resharding.Layout(old_shards=3, new_shards=4, blocks=5, writers=2)
-    got = resharding.reshard(docs, layout).collect()
-    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(r[0]), len((r[1] or "").encode()) + 1) for r in texts)
+def shard_sizes(rows, n):
     by = collections.defaultdict(list)
-    for r in got:
+    for r in rows:
         by[r.shard].append(r)
-    for rows in by.values():
-        assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    sizes = [sum(r["size"] for r in by[j]) for j in range(4)]
-    assert max(sizes) - min(sizes) <= 4 * max(r["size"] for r in got)
-    assert resharding.reshard(empty(spark), layout).count() == 0
+    for some in by.values():
+        assert sorted(r.slot for r in some) == list(range(len(some)))
+    return [sum(r["size"] for r in by[j]) for j in range(n)]
+
+
+def test_resharding(spark, docs, texts, tmp_path):
+    layout = resharding.Layout(old_shards=3, new_shards=4, docs_per_file=5)
+    placed, done = resharding.reshard(spark, resharding.write_shards(docs, layout, f"file://{tmp_path}/some"), new_shards=4)
+    got = placed.collect()
+    assert sorted((str(r.doc_id), str(r.text), r["size"]) for r in got) == sorted((str(r[0]), str(r[1]), len((r[1] or "").encode()) + 1) for r in texts)
+    sizes = shard_sizes(got, 4)
+    assert max(sizes) - min(sizes) <= max(r["size"] for r in got)
+    assert resharding.reshard(spark, resharding.write_shards(empty(spark), layout, f"file://{tmp_path}/none"))[0].count() == 0
+
+
+def test_resharding_writes_only_affected_files(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.randint(20, 60)) for i in range(4000)]
+    folder = resharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), resharding.Layout(12, 16, 20), f"file://{tmp_path}/shards")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").rglob("*.parquet")}
+    was = {r.doc_id: r.shard for r in resharding.read_shards(spark, folder, "long").collect()}
+    placed, done = resharding.reshard(spark, folder, new_shards=16)
+    got = placed.collect()
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").rglob("*.parquet")}
+    untouched = [p for p in before if after.get(p) == before[p]]
+    assert len(untouched) == done.kept_files and len(before) == done.kept_files + done.written_files and len(untouched) > len(before) / 2
+    assert sum(r["size"] for r in got if was[r.doc_id] != r.shard) == done.moved_bytes
+    total = sum(r["size"] for r in got)
+    assert done.planned_bytes <= done.moved_bytes + 16 * 61 and done.moved_bytes <= done.planned_bytes + 0.01 * total
+    assert done.written_bytes < total / 2
+    sizes = shard_sizes(got, 16)
+    assert len(got) == 4000 and max(sizes) - min(sizes) <= sorted(r["size"] for r in got)[2000]
 
 
 def test_flow_moves_least():
