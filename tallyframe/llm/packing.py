@@ -5,9 +5,12 @@ counts by length (at most `capacity` rows, whatever the corpus), and a solution
 patterns of lengths with the number of sequences that follow each. The algorithm
 works on groups, not on items: crossover injects whole well-filled sequences of
 one parent into the other, takes out what is then present twice, and puts
-displaced documents back best-fit, longest first. Islands, one Spark task each,
+displaced documents back best-fit, longest first, after swaps of displaced documents
+for shorter ones that fill a sequence better. Islands, one Spark task each,
 evolve populations of their own; after each epoch their elites migrate to the next
-island in the ring. It ends early at the lower bound, total length / capacity.
+island in the ring. The search ends at a lower bound (total length / capacity, or one
+for every document too long to share a sequence with another such), which plain best-fit
+meets where short documents abound, or after epochs in which no island gains.
 
 Placing the documents is distributed: each gets its rank among those of its length
 (counted by length and hash bucket, so that a length that many documents have is
@@ -35,17 +38,20 @@ from pyspark.sql.window import Window
 from tallyframe.llm.tokens import Encoder
 from tallyframe.storage import stage
 
+#: Pairs of displaced lengths are looked at where there are no more than these; it is a matter of time, not of the result's validity.
+PAIR_SIZES = 200
 Pattern = tuple[int, ...]
 Solution = dict[Pattern, int]
 
 
 @dataclass(frozen=True)
 class Search:
-    islands: int = 4
-    population: int = 4
-    generations: int = 4
-    epochs: int = 3
-    elites: int = 1
+    islands: int = 8
+    population: int = 12
+    generations: int = 40
+    #: epochs without a gain of any island after which the search ends
+    patience: int = 5
+    elites: int = 2
     seed: int = 20
 
 
@@ -99,6 +105,48 @@ def fitness(solution: Solution, capacity: int) -> float:
     return sum(n * (sum(p) / capacity) ** 2 for p, n in solution.items()) / max(1, bins_of(solution))
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: by total length, and by items that exclude each other, for each length k below which items are left out of account."""
+    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for k in {s for s in counts if 2 * s <= capacity} | {0}:
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        large = {s: n for s, n in counts.items() if capacity - k >= s > capacity / 2}
+        small = sum(s * n for s, n in counts.items() if capacity / 2 >= s >= k)
+        room = sum(large.values()) * capacity - sum(s * n for s, n in large.items())
+        bound = max(bound, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    return bound
+
+
+def _swap(bins: Counter, free: dict[int, int], capacity: int) -> None:
+    """Displaced items, one or two together, take the place of a shorter item of a bin, as far as this fills the bin better. Both are changed."""
+    for p, n in sorted(bins.items(), key=lambda x: sum(x[0])):
+        room = capacity - sum(p)
+        if not room:
+            continue
+        sizes, best = sorted(s for s, k in free.items() if k), (0, None, ())
+        for out in dict.fromkeys(p):
+            most = out + room
+            i = bisect_left(sizes, most + 1) - 1
+            if i >= 0 and sizes[i] - out > best[0]:
+                best = (sizes[i] - out, out, (sizes[i],))
+            j = 0
+            for a in reversed(sizes[: i + 1] if len(sizes) <= PAIR_SIZES else []):  # of pairs the fullest that fits
+                while j < len(sizes) and sizes[j] + a <= most:
+                    j += 1
+                if j and sizes[j - 1] + a - out > best[0] and (sizes[j - 1] != a or free[a] > 1):
+                    best = (sizes[j - 1] + a - out, out, (a, sizes[j - 1]))
+        gain, out, new = best
+        if gain:
+            n = min([n, *(free[s] // new.count(s) for s in new)])
+            rest = list(p)
+            rest.remove(out)
+            bins[p] -= n
+            bins[tuple(sorted([*rest, *new], reverse=True))] += n
+            for s in new:
+                free[s] -= n
+            free[out] = free.get(out, 0) + n
+
+
 def _insert(keep: list[tuple[Pattern, int]], counts: dict[int, int], capacity: int) -> Solution:
     """As many of each listed bin as the items still free allow, and the other items best-fit into them."""
     free, kept = dict(counts), Counter()
@@ -109,14 +157,15 @@ def _insert(keep: list[tuple[Pattern, int]], counts: dict[int, int], capacity: i
             kept[p] += n
             for s, k in need.items():
                 free[s] -= k * n
-    return best_fit({s: n for s, n in free.items() if n}, capacity, kept)
+    _swap(kept, free, capacity)
+    return best_fit({s: n for s, n in free.items() if n}, capacity, {p: n for p, n in kept.items() if n})
 
 
 def crossover(a: Solution, b: Solution, counts: dict[int, int], capacity: int, rng: random.Random) -> Solution:
     """Well-filled bins of a are injected into b; b's bins that hold items used twice fall away."""
     full = sorted(a.items(), key=lambda x: -sum(x[0]))
     cut = capacity - rng.choice((0, 1, 4, 16, 64, 256))
-    injected = [(p, n if rng.random() < 0.8 else n // 2) for p, n in full if sum(p) >= cut]
+    injected = [(p, n if rng.random() < 0.5 else rng.randint(0, n)) for p, n in full if sum(p) >= cut and rng.random() < 0.7]
     rest = sorted(b.items(), key=lambda x: (-sum(x[0]), rng.random()))
     return _insert([x for x in injected if x[1]] + rest, counts, capacity)
 
@@ -147,13 +196,14 @@ def evolve(counts: dict[int, int], capacity: int, start: list[Solution], search:
 
 def pack_lengths(spark, counts: dict[int, int], capacity: int, search: Search = Search()) -> Solution:
     """The best solution that the islands find for a table of counts by length."""
-    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+    bound = lower_bound(counts, capacity)
     plain = best_fit(counts, capacity)
     if bins_of(plain) <= bound or len(counts) < 2:
         return plain
     elites: dict[int, list[Solution]] = {i: [plain] for i in range(search.islands)}
-    best = plain
-    for epoch in range(search.epochs):
+    best, epoch, idle = plain, 0, 0
+    rank = lambda x: (-bins_of(x), fitness(x, capacity))
+    while idle < search.patience:
         seeds = {i: json.dumps([list(x.items()) for x in elites[i]]) for i in elites}
 
         def island(batches: Iterator[pa.RecordBatch], seeds=seeds, epoch=epoch) -> Iterator[pa.RecordBatch]:
@@ -161,15 +211,17 @@ def pack_lengths(spark, counts: dict[int, int], capacity: int, search: Search =
                 for i in batch.column(0).to_pylist():
                     start = [{tuple(p): n for p, n in x} for x in json.loads(seeds[i])]
                     pop = evolve(counts, capacity, start, search, random.Random(f"{search.seed}/{epoch}/{i}"), bound)
-                    found = json.dumps([list(x.items()) for x in pop[: search.elites + 1]])
+                    found = json.dumps([list(x.items()) for x in pop[: search.population // 2]])
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found])], ["island", "found"])
 
         rows = spark.range(0, search.islands, 1, search.islands).mapInArrow(island, "island long, found string").collect()
         found = {r["island"]: [{tuple(p): n for p, n in x} for x in json.loads(r["found"])] for r in rows}
-        best = max([best, *(x for xs in found.values() for x in xs)], key=lambda x: (-bins_of(x), fitness(x, capacity)))
+        champion = max((x for xs in found.values() for x in xs), key=rank)
+        epoch, idle = epoch + 1, 0 if bins_of(champion) < bins_of(best) else idle + 1
+        best = max(best, champion, key=rank)
         if bins_of(best) <= bound:
             break
-        elites = {i: [*found[i][:1], *found[(i - 1) % search.islands][: search.elites]] for i in found}
+        elites = {i: [*found[i], *found[(i - 1) % search.islands][: search.elites]] for i in found}
     return best
 
 
@@ -195,9 +247,9 @@ def slots(solution: Solution, counts: dict[int, int]) -> tuple[np.ndarray, np.nd
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length", search: Search = Search()) -> DataFrame:
     """items plus sequence_id and offset; lengths from 1 to capacity. Items is read several times: pass a written table.
 
-    Rows alike are packed each for itself. Columns named bucket_, rank_, sequence_id or offset are replaced.
+    Rows alike are packed each for itself. Columns named sequence_id or offset are replaced, bucket_, rank_ and before_ dropped.
     """
-    items = items.drop("sequence_id", "offset", "bucket_", "rank_", "before_")
+    items = items.drop("sequence_id", "offset", "bucket_", "rank_", "before_")  # working names, too
     counts = {r[0]: r[1] for r in items.groupBy(length).count().collect()}
     if any(s is None or not 1 <= s <= capacity for s in counts):
         raise ValueError(f"lengths must lie in 1..{capacity}")

@@ -220,18 +220,41 @@ def test_best_fit_counts_equal_item_by_item():
 
 
 def test_genetic_search_beats_best_fit(spark):
-    counts = collections.Counter({51: 40, 27: 40, 26: 40, 23: 80, 25: 40, 24: 40, 47: 10, 53: 10})
-    plain = packing.bins_of(packing.best_fit(counts, 100))
-    found = packing.pack_lengths(spark, counts, 100, packing.Search(generations=60, population=6))
+    """Sixty items that fill twenty bins in threes: best-fit needs more bins, the search fewer than best-fit."""
+    rng, counts = random.Random(0), collections.Counter()
+    for _ in range(20):
+        a = rng.randint(380, 490)
+        b = rng.randint(255, (1000 - a) // 2)
+        counts.update([a, b, 1000 - a - b])
+    plain = packing.bins_of(packing.best_fit(counts, 1000))
+    assert packing.lower_bound(counts, 1000) == 20 < plain
+    found = packing.pack_lengths(spark, counts, 1000)
     used = collections.Counter()
     for p, n in found.items():
-        assert sum(p) <= 100
+        assert sum(p) <= 1000
         used.update({s: k * n for s, k in collections.Counter(p).items()})
-    assert used == counts and packing.bins_of(found) <= plain
-    a = packing.crossover(found, packing.best_fit(counts, 100), counts, 100, random.Random(0))
+    assert used == counts and packing.bins_of(found) < plain
+    a = packing.crossover(found, packing.best_fit(counts, 1000), counts, 1000, random.Random(0))
     assert sum(len(p) * n for p, n in a.items()) == sum(counts.values())
 
 
+def test_lower_bound():
+    """Never above the least number of bins, found by trying all; large items that exclude each other are seen."""
+    assert packing.lower_bound({60: 10}, 100) == 10 and packing.lower_bound({70: 3, 40: 2, 30: 3}, 100) == 4
+
+    def least(items, bins=()):
+        if not items:
+            return len(bins)
+        s, rest = items[0], items[1:]
+        tries = [least(rest, bins[:i] + (b + s,) + bins[i + 1 :]) for i, b in enumerate(bins) if b + s <= 20]
+        return min([*tries, least(rest, (*bins, s))])
+
+    rng = random.Random(4)
+    for _ in range(40):
+        items = [rng.randint(3, 20) for _ in range(7)]
+        assert packing.lower_bound(collections.Counter(items), 20) <= least(sorted(items, reverse=True)) <= packing.bins_of(packing.best_fit(collections.Counter(items), 20))
+
+
 def test_token_files(spark, docs, texts, reference_ids):
     manifest = token_files.write_files(docs)
     got = token_files.read_files(manifest).collect()
