@@ -15,7 +15,7 @@ from tallyframe.plans.grammar import parse
 from tallyframe.render import lines
 from tallyframe.sources.schema_file import infer_from_header, load_schema_file
 from tallyframe.sources.text_scan import POLICIES, TextScan
-from tallyframe.storage import shared_dir
+from tallyframe.storage import fresh_path
 from tallyframe.streaming import spool
 
 
@@ -30,11 +30,10 @@ def session(args) -> SparkSession:
 def source(args, spark: SparkSession) -> str:
     if args.file not in ("", "-"):
         return args.file
-    import os
-
-    folder = shared_dir(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    return spool(sys.stdin.buffer, folder)
+    local, shared = spool(sys.stdin.buffer), fresh_path(spark, "spool") + ".txt"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    hadoop.Path(shared).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, hadoop.Path(local), hadoop.Path(shared))
+    return shared
 
 
 def ingest(args) -> None:

@@ -3,6 +3,7 @@
 One row a group: key columns, count, and for measure i the columns m{i}_sum,
 m{i}_min, m{i}_max, m{i}_nan, m{i}_pinf (numeric columns) and m{i}_hll, m{i}_kll
 (when asked for). States merge in any order; averages are only formed at the end.
+Sums of integers are decimals, so that they meet the overflow rule only at the end, too.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def partial_state(df: DataFrame, spec: AggSpec, schema: InputSchema) -> DataFram
         v, kind = F.col(_exact_name(m.column)), schema.columns[at[m.column]].type
         is_float = kind is ColumnType.FLOAT64
         if kind.numeric:
-            out += [F.sum(v).alias(f"m{i}_sum"), F.min(v).alias(f"m{i}_min"), F.max(v).alias(f"m{i}_max")]
+            sums = F.sum(v) if is_float else F.sum(v.cast("decimal(20,0)")).cast("decimal(38,0)")
+            out += [sums.alias(f"m{i}_sum"), F.min(v).alias(f"m{i}_min"), F.max(v).alias(f"m{i}_max")]
             out += [F.bool_or(F.isnan(v) if is_float else F.lit(False)).alias(f"m{i}_nan"), F.bool_or(v == exact.INF if is_float else F.lit(False)).alias(f"m{i}_pinf")]
         if _wants(spec, i, "distinct"):
             out.append(sketches.distinct_sketch(v, is_float).alias(f"m{i}_hll"))
@@ -64,8 +66,8 @@ def merge_states(states: list[DataFrame], spec: AggSpec, schema: InputSchema) ->
     return merged if keys else merged.filter("count > 0")
 
 
-def finalize(state: DataFrame, spec: AggSpec, schema: InputSchema) -> DataFrame:
-    """The result rows of a state, sorted by key."""
+def finalize(state: DataFrame, spec: AggSpec, schema: InputSchema, overflow: str = "error") -> DataFrame:
+    """The result rows of a state, sorted by key. overflow: see functions.exact.total."""
     spec.validate(schema)
     at, out = schema.index(), []
     for i, f, name in spec.outputs():
@@ -73,7 +75,7 @@ def finalize(state: DataFrame, spec: AggSpec, schema: InputSchema) -> DataFrame:
         part = lambda p, i=i: F.col(f"m{i}_{p}")
         match f.kind:
             case "sum":
-                c = part("sum")
+                c = part("sum") if is_float else exact.fold64(part("sum")) if overflow == "wrap" else part("sum").cast("bigint")
             case "avg":
                 c = part("sum").cast("double") / F.col("count")
             case "min":

@@ -55,4 +55,4 @@ class Engine:
         return partial_state(df if where is None else df.filter(where), spec, self.schema)
 
     def finish(self, states: list[DataFrame], spec: AggSpec) -> DataFrame:
-        return finalize(merge_states(states, spec, self.schema), spec, self.schema)
+        return finalize(merge_states(states, spec, self.schema), spec, self.schema, self.overflow)

@@ -7,7 +7,7 @@ from tallyframe import AggSpec, Engine, MeasureSpec, SchemaError, SpecError
 from tallyframe.model import ColumnSpec, ColumnType, InputSchema
 from tallyframe.operators.aggregate import aggregate
 
-ROWS = [("Tokyo", 23.5, 10), ("Osaka", 21.0, 5), ("Tokyo", 18.2, 7), ("Kyoto", 19.8, 3), ("Osaka", 25.0, 8)]
+ROWS = [("Quito", 14.5, 4), ("Lima", 19.25, 9), ("Lima", 22.75, 2), ("Cusco", 11.0, 6), ("Quito", 13.1, 1), ("Lima", 18.0, 11)]
 NAN, INF = math.nan, math.inf
 
 
@@ -21,14 +21,14 @@ def run(spark, rows, schema, spec, **more):
 
 def test_exact(spark):
     got = run(spark, ROWS, "city string, temp double, hits bigint", AggSpec.of(["city"], temp="sum,min,max,avg", hits="sum,min,max,avg"))
-    assert [r[0] for r in got] == ["Kyoto", "Osaka", "Tokyo"]
-    assert got[2][1] == 2 and got[2][2] == pytest.approx(41.7) and got[2][3:6] == (18.2, 23.5, pytest.approx(20.85))
-    assert got[1][6:] == (13, 5, 8, 6.5)
+    assert [r[0] for r in got] == ["Cusco", "Lima", "Quito"]
+    assert got[2][1] == 2 and got[2][2] == pytest.approx(27.6) and got[2][3:6] == (13.1, 14.5, pytest.approx(13.8))
+    assert got[1][6:] == (22, 2, 11, pytest.approx(22 / 3))
 
 
 def test_global_and_empty(spark):
     schema = "city string, temp double, hits bigint"
-    assert run(spark, ROWS, schema, AggSpec.of([], hits="sum")) == [(5, 33)]
+    assert run(spark, ROWS, schema, AggSpec.of([], hits="sum")) == [(6, 33)]
     assert run(spark, [], schema, AggSpec.of([], hits="sum")) == []
     assert run(spark, [], schema, AggSpec.of(["city"], hits="sum")) == []
 
@@ -160,3 +160,17 @@ def test_state_keeps_nan_and_zero_signs(spark):
     got = {str(r[0]): tuple(r)[1:] for r in engine.finish([engine.state(spec), engine.state(spec)], spec).collect()}
     assert got["-0.0"][:2] == (4, -INF) and math.isnan(got["-0.0"][2])
     assert got["0.0"] == (2, 1.0, 1.0, 1.0)
+
+
+def test_state_overflow(spark):
+    """Sums of integers in states meet the overflow rule only when they are finished."""
+    rows = [((1 << 63) - 1,), (5,)]
+    spec = AggSpec.of([], v="sum,avg")
+    for overflow, want in (("wrap", -(1 << 63) + 4), ("error", None)):
+        engine = Engine(spark, frame(spark, rows, "v bigint"), overflow=overflow)
+        done = engine.finish([engine.state(spec, where=F.col("v") == v) for (v,) in rows], spec)
+        if want is None:
+            with pytest.raises(Exception, match="(?i)overflow"):
+                done.collect()
+        else:
+            assert [tuple(r) for r in done.collect()] == [(2, want, ((1 << 63) + 4) / 2)]

@@ -11,7 +11,7 @@ def test_function_names(text, shown):
     assert str(AggFunc.parse(text)) == shown
 
 
-@pytest.mark.parametrize("text", ["", "median", "p", "p0", "p100", "p-5", "pxyz", "pnan", "pinf", "count"])
+@pytest.mark.parametrize("text", ["", "mode", "p", "p0", "p100", "p-12", "p7q", "p 5", "pnan", "pinf", "count", "sum!"])
 def test_function_names_refused(text):
     with pytest.raises(SpecError):
         AggFunc.parse(text)
@@ -40,7 +40,7 @@ def test_queries(text, keys, measures):
     assert funcs(spec) == measures
 
 
-@pytest.mark.parametrize("text", ["", "  ", "FOO a", "SELECT", "SELECT a,", "SELECT a GROUP a", "SELECT a GROUP BY", "SELECT a", "SELECT a GROUP BY b", "SELECT count(*) LIMIT 3", "SELECT *", "SELECT count(x)", "SELECT sum(*)", "SELECT median(x)", "SELECT sum(x", "SELECT sum(x) WHERE y", "SELECT 1x", "SELECT a-b GROUP BY a"])
+@pytest.mark.parametrize("text", ["", "  ", "FOO a", "SELECT", "SELECT a,", "SELECT a GROUP a", "SELECT a GROUP BY", "SELECT a", "SELECT a GROUP BY b", "SELECT count(*) LIMIT 3", "SELECT *", "SELECT count(x)", "SELECT sum(*)", "SELECT mode(x)", "SELECT sum(x", "SELECT sum(x) WHERE y", "SELECT 1x", "SELECT a-b GROUP BY a"])
 def test_queries_refused(text):
     with pytest.raises(SpecError):
         parse(text)
@@ -76,6 +76,6 @@ def test_schema_json(tmp_path):
         load_schema_file(str(tmp_path / "none.json"))
 
 
-@pytest.mark.parametrize("v, text", [(23.5, "23.5"), (0.0, "0"), (-0.0, "-0"), (100.0, "100"), (1e6, "1e+06"), (1234567.5, "1.2345675e+06"), (0.0001, "0.0001"), (0.00001, "1e-05"), (float("nan"), "NaN"), (float("-inf"), "-Inf")])
+@pytest.mark.parametrize("v, text", [(12.25, "12.25"), (0.0, "0"), (-0.0, "-0"), (100.0, "100"), (1e6, "1e+06"), (1234567.5, "1.2345675e+06"), (0.0001, "0.0001"), (0.00001, "1e-05"), (float("nan"), "NaN"), (float("-inf"), "-Inf")])
 def test_number_text(v, text):
     assert number(v) == text
