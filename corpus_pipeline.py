@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: rules, classifier, near duplicates, mixing, packing.
 
 Every stage takes what its predecessor kept, as written and read back, and works on
-all of it. All but the last return the columns of documents.
+all of it. All but the last return the columns of documents. NULL and empty texts fail
+the rules; NULL ids and repeated rows are documents like any other until the third
+stage, which leaves one of those alike; an empty table gives an empty one; columns
+besides those of documents pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ def whole_rows(docs: DataFrame) -> list:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality_rules.quality_rules(docs.select("text", "lang", *whole_rows(docs)))
+    judged = quality_rules.quality_rules(docs.select("text", "lang", *whole_rows(docs)), keep=["row_"])
     return judged.filter("kept").select("row_.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under MIN_SCORE go. It learns from the labelled ones of all documents: the rules left few bad ones."""
+    """Documents that score under MIN_SCORE go. It learns from labelled ones of all documents, as the rules left few bad ones, but for those held out."""
     ship(spark)
-    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(quality_classifier.teachable()))
     scored = quality_classifier.score(docs, model, into="quality_score_")
     return scored.filter(F.col("quality_score_") >= MIN_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
 
