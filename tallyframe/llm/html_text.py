@@ -5,8 +5,8 @@ by its word count and link density, those of the blocks before and after it, whe
 it is a heading, whether it lies in the page's article (or the page has none, or it
 lies outside; articles with less than half of the page's unlinked words outside
 boilerplate, such as teasers, count as none), and whether an element around it is, by tag, role, class or id, a menu,
-header, footer, sidebar, notice, advert, form or reader comment. A decision tree,
-trained on the small labelled table below, keeps or drops each block.
+header, footer, sidebar, notice, advert, form or reader comment, or may be one (a class
+or id that joins such a word to one of another kind). A decision tree, trained on the small labelled table below, keeps or drops each block.
 
 Kept blocks are joined in page order by one space, white space inside them turned
 into one space, character references decoded. NULL and empty pages give the empty
@@ -39,10 +39,18 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 # Words of class and id names that mark what is not the article.
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot adunit banner breadcrumb breadcrumbs captcha chat comment comments commentlist "
-    "consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr hidden legal login masthead menu menubar modal nav navbar navigation newsletter "
+    "consent cookie cookies copyright disclaimer disqus feedback footer gdpr hidden legal login masthead menu menubar modal nav navbar navigation newsletter "
     "notice notification notifications overlay pager pagination paywall popup promo promos promoted promotion recommended recommendations related replies reply "
     "respond responses search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar trending widget widgets".split()
 )
+# Words beside which those above keep their meaning, as in "ad-box" or "related-posts". Beside others they may be part of a
+# text's subject, as in "related-work": then length and links decide.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block body bottom box btn col column container content entry footer group header icon icons id inner item items label left link links list main "
+    "outer page panel post posts right row section site slot small stories story text title top unit wrap wrapper".split()
+)
+#: Words that alone may name boilerplate or a part of the text.
+OPEN_WORDS = frozenset(("discussion",))
 #: Boilerplate around an article, but part of it inside.
 OUTSIDE_WORDS = frozenset(("header",))
 ARTICLE_ROLES = frozenset(("main", "article"))
@@ -52,7 +60,7 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)\
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _END_OF: dict[str, re.Pattern] = {}
 
-#: words, link density, words and density before, words and density after, heading, place (1 in the article, 0 no article on the page, -1 outside it), boilerplate around -> kept
+#: words, link density, words and density before, words and density after, heading, place (1 in the article, 0 no article on the page, -1 outside it), boilerplate around (1, or 0.5 where names only may say so) -> kept
 LABELLED = (
     # menus, footers, sidebars, adverts, notices and comments that say what they are
     (1, 1.0, 1, 1.0, 1, 1.0, 0, -1, 1, 0), (6, 1.0, 0, 0.0, 8, 0.0, 0, 0, 1, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, -1, 1, 0), (8, 0.1, 90, 0.0, 0, 0.0, 0, -1, 1, 0),
@@ -64,6 +72,9 @@ LABELLED = (
     (10, 0.0, 8, 0.0, 60, 0.0, 1, 1, 0, 1), (1, 0.0, 80, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 90, 0.0, 0, 1, 0, 1), (150, 0.0, 10, 0.0, 120, 0.0, 0, 1, 0, 1),
     (60, 0.2, 60, 0.0, 60, 0.0, 0, 1, 0, 1), (5, 1.0, 80, 0.0, 70, 0.0, 0, 1, 0, 1), (3, 0.0, 0, 0.0, 3, 0.0, 0, 1, 0, 1), (400, 0.0, 1, 1.0, 9, 0.1, 0, 1, 0, 1),
     (1, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 1), (12, 0.0, 70, 0.0, 9, 1.0, 0, 1, 0, 1), (7, 0.4, 40, 0.0, 40, 0.0, 0, 1, 0, 1), (1, 1.0, 30, 0.0, 30, 0.0, 0, 1, 0, 1),
+    # also between short ones
+    (4, 0.0, 3, 0.0, 3, 0.0, 1, 1, 0, 1), (3, 0.0, 4, 0.0, 5, 0.0, 0, 1, 0, 1), (5, 0.0, 3, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 5, 0.0, 4, 0.0, 0, 1, 0, 1), (8, 0.0, 6, 0.0, 2, 0.0, 1, 1, 0, 1),
+    (6, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0, 1), (9, 0.0, 40, 0.0, 2, 0.0, 0, 1, 0, 1), (2, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1), (1, 0.0, 30, 0.0, 4, 0.0, 0, 1, 0, 1), (3, 0.0, 90, 0.0, 5, 0.0, 0, 1, 0, 1),
     # inside the article lists of links go
     (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 70, 0.0, 0, 1, 0, 0), (25, 0.9, 8, 1.0, 30, 0.9, 0, 1, 0, 0), (4, 1.0, 6, 1.0, 0, 0.0, 0, 1, 0, 0),
     (3, 1.0, 80, 0.0, 3, 1.0, 0, 1, 0, 0), (6, 1.0, 120, 0.0, 5, 1.0, 0, 1, 0, 0), (1, 1.0, 30, 0.0, 1, 1.0, 0, 1, 0, 0), (8, 1.0, 70, 0.0, 9, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 90, 0.0, 0, 1, 0, 0),
@@ -82,6 +93,11 @@ LABELLED = (
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0),
     (6, 0.5, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (20, 0.9, 50, 0.0, 10, 1.0, 0, 0, 0, 0), (35, 0.8, 4, 1.0, 60, 0.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
     (7, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0), (4, 0.3, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0), (50, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    # a page of one short text
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # names that may say so: long texts with few links and what leads to them stay, links and short texts go
+    (80, 0.0, 3, 0.0, 60, 0.0, 0, 1, 0.5, 1), (45, 0.1, 60, 0.0, 3, 0.0, 0, 1, 0.5, 1), (2, 0.0, 70, 0.0, 80, 0.0, 1, 1, 0.5, 1), (120, 0.0, 90, 0.0, 2, 1.0, 0, 0, 0.5, 1), (60, 0.0, 2, 0.0, 50, 0.0, 0, 0, 0.5, 1), (150, 0.0, 40, 0.0, 60, 0.0, 0, -1, 0.5, 1),
+    (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0.5, 0), (6, 0.0, 70, 0.0, 5, 0.0, 0, 1, 0.5, 0), (4, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0.5, 0), (10, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0.5, 0), (50, 0.9, 60, 0.0, 40, 0.9, 0, 1, 0.5, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, -1, 0.5, 0), (5, 1.0, 90, 0.0, 70, 0.0, 0, 0, 0.5, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (5, 1.0, 0, 0.0, 6, 1.0, 0, 0, 0, 0), (3, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
 )
 
@@ -103,7 +119,7 @@ class Node:
         return node.value
 
 
-def train(table=LABELLED, depth: int = 6) -> Node:
+def train(table=LABELLED, depth: int = 9) -> Node:
     """A classification tree by Gini impurity; cuts lie halfway between neighbouring values."""
     data = np.array(table, float)
     x, y = data[:, :-1], data[:, -1]
@@ -129,35 +145,40 @@ def train(table=LABELLED, depth: int = 6) -> Node:
     return grow(np.arange(len(y)), depth)
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Of an element: boilerplate, boilerplate unless in an article, article."""
-    boiler, outside, article = name in BOILER_TAGS, name == "header", name in ("article", "main")
+def _marks(name: str, attributes: str) -> tuple[float, bool, bool]:
+    """Of an element: boilerplate (0.5 if it may be), boilerplate unless in an article, article."""
+    boiler, outside, article = float(name in BOILER_TAGS), name == "header", name in ("article", "main")
     if attributes and not attributes.isspace():
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                parts = {p.lower() for p in NAME_PART.findall(value)}
-                boiler |= not parts.isdisjoint(BOILER_WORDS)
-                outside |= not parts.isdisjoint(OUTSIDE_WORDS)
+                for one in value.split():
+                    parts = {p.lower() for p in NAME_PART.findall(one)}
+                    if not parts.isdisjoint(BOILER_WORDS):
+                        boiler = max(boiler, 1.0 if parts <= BOILER_WORDS | NEUTRAL_WORDS else 0.5)
+                    elif not parts.isdisjoint(OPEN_WORDS):
+                        boiler = max(boiler, 0.5)
+                    outside |= not parts.isdisjoint(OUTSIDE_WORDS)
             elif key == "role":
-                boiler |= value.lower() in BOILER_ROLES
+                boiler = max(boiler, float(value.lower() in BOILER_ROLES))
                 article |= value.lower() in ARTICLE_ROLES
             elif key == "hidden":
-                boiler = True
+                boiler = 1.0
             elif key == "aria-hidden":
-                boiler |= value.lower() == "true"
+                boiler = max(boiler, float(value.lower() == "true"))
             else:
-                boiler |= "display:none" in value.replace(" ", "").lower()
+                boiler = max(boiler, float("display:none" in value.replace(" ", "").lower()))
     return boiler, outside, article
 
 
 def blocks(page: str) -> list[list]:
     """Flat blocks in page order: [text, words, link words, heading, in an article, boilerplate around]."""
     found: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, in an article; the latter two hold for all inside
+    stack: list[tuple[str, float, bool]] = []  # element, boilerplate, in an article; the latter two hold for all inside
     text: list[str] = []
     linked: list[str] = []
-    heading, in_link, boiler, article, at, end = False, 0, False, False, 0, len(page)
+    heading, in_link, boiler, article, at, end = False, 0, 0.0, False, 0, len(page)
+    unclosed: set[str] = set()  # names of elements without text that nothing closes any more
 
     def close() -> None:
         nonlocal heading
@@ -189,7 +210,9 @@ def blocks(page: str) -> list[list]:
         if name in NO_TEXT and not closing and not attributes.endswith("/"):
             if name not in _END_OF:
                 _END_OF[name] = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE)
-            stop = _END_OF[name].search(page, at)
+            stop = None if name in unclosed else _END_OF[name].search(page, at)
+            if stop is None:
+                unclosed.add(name)
             if name in ("script", "style") or stop is not None:
                 at = stop.end() if stop else end
             if name in BLOCK:
@@ -213,11 +236,11 @@ def blocks(page: str) -> list[list]:
                 if name == "span":
                     close()
                 stack.append((name, boiler, article))
-                if marks[2] and not (boiler and article):
+                if marks[2] and not (boiler == 1 and article):
                     # what surrounds an article does not count inside it
                     boiler, article = marks[0], True
                 else:
-                    boiler, article = boiler or marks[0] or (marks[1] and not article), article
+                    boiler = max(boiler, marks[0], float(marks[1] and not article))
             else:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if k is not None:
@@ -231,21 +254,22 @@ def blocks(page: str) -> list[list]:
 
 def described(found: list[list]) -> list[tuple]:
     """The tree's view of each block."""
-    inside = sum(b[1] - b[2] for b in found if b[4] and not b[5])
-    outside = sum(b[1] - b[2] for b in found if not b[4] and not b[5])
+    inside = sum(b[1] - b[2] for b in found if b[4] and b[5] < 1)
+    outside = sum(b[1] - b[2] for b in found if not b[4] and b[5] < 1)
     has_article = inside > 0 and inside >= outside
     density = [b[2] / b[1] for b in found]
     out = []
     for i, b in enumerate(found):
         before = (found[i - 1][1], density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1][1], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        out.append((b[1], density[i], *before, *after, int(b[3]), (1 if b[4] else -1) if has_article else 0, int(b[5])))
+        out.append((b[1], density[i], *before, *after, int(b[3]), (1 if b[4] else -1) if has_article else 0, b[5]))
     return out
 
 
 def main_text(page: str | None, tree: Node) -> str:
+    """Blocks that say they are boilerplate go; of the others the tree decides."""
     found = blocks(page or "")
-    return " ".join(b[0] for b, x in zip(found, described(found), strict=True) if tree.decide(x))
+    return " ".join(b[0] for b, x in zip(found, described(found), strict=True) if x[-1] < 1 and tree.decide(x))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -522,6 +522,26 @@ def test_html_weighs_length_and_links_around_articles():
     assert html_text.main_text(f"<article>{body}<div class='ad'><a>Buy this</a></div>{body}</article>", tree).split() == 2 * (["word"] * 90 + ["more"] * 80)
 
 
+def test_html_names_that_may_be_text():
+    tree = html_text.train()
+    body = "<p>" + "word " * 90 + "<p>" + "more " * 80
+    words = ["word"] * 90 + ["more"] * 80
+    for name in ('id="discussion"', 'class="related-work"', 'class="legal-history"'):
+        assert html_text.main_text(f"<article>{body}<section {name}><h2>On it</h2>{body}</section></article>", tree).split() == [*words, "On", "it", *words]
+        assert html_text.main_text(f"<article>{body}<section {name}><a>Read on</a><p><a>And on</a></section></article>", tree).split() == words
+    for name in ('class="related-posts"', 'class="ad-slot"', 'id="comments"', 'class="site-footer"'):
+        assert html_text.main_text(f"<article>{body}<section {name}><h2>On it</h2>{body}</section></article>", tree).split() == words
+    assert html_text.main_text("<body><p>Short page only.</p></body>", tree) == "Short page only."
+
+
+def test_html_unclosed_elements_take_no_longer():
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text("<p>a " + "<svg>" * 60_000, html_text.train())
+    assert time.perf_counter() - began < 5
+
+
 def test_html_of_pages(spark):
     ship(spark)
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
