@@ -601,3 +601,25 @@ def test_flow_moves_least():
         assert [sum(r) for r in flow] == supply and [sum(c) for c in zip(*flow)] == capacity
         stay = sum(min(supply[i], capacity[i]) for i in range(min(n, m)))
         assert sum(f for i, r in enumerate(flow) for j, f in enumerate(r) if i != j) == total - stay
+
+
+def test_empty_tables(spark):
+    ship(spark)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
+    nothing = quality_classifier.fit(empty(spark), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_classifier.score(empty(spark), nothing).count() == 0
+    assert ngram_join.near_duplicates(empty(spark)).count() == 0
+
+
+def test_names_of_working_columns_pass_through(spark):
+    ship(spark)
+    rows = [(1, "a b c d e f", "k", "r", "w", "n", "g"), (1, "a b c d e f", "k", "r", "w", "n", "g"), (2, "x y z", "k", "r", "w", "n", "g"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, repeated_ string, row_ string, near string, lang string").withColumn("source", F.lit("a"))
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    mixed = mixing.mix(df, keep=True)
+    assert mixed.columns == [*df.columns, "copies"] and mixed.filter("row_ = 'w'").count() == 3
+    judged = quality_rules.quality_rules(df)
+    assert judged.columns == [*df.columns, *quality_rules.MEASURES] and judged.filter("near = 'n' AND row_ = 'w'").count() == 3
+    scored = quality_classifier.score(df, quality_classifier.fit(df, spark.createDataFrame([], "doc_id long, quality int")))
+    assert scored.columns == [*df.columns, "score"]
