@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 NO_ID = -(1 << 63)
 
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
 class Damaged(Exception):
@@ -55,6 +56,7 @@ class Writer:
         self.out, self.z = out, zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
         self.table, self.ids = bytearray(), bytearray()
         self.n = 0
+        self.first = self.last = None
 
     def add(self, doc_id: int | None, content: bytes) -> None:
         import xxhash
@@ -64,6 +66,8 @@ class Writer:
         self.table += struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF)
         self.ids += struct.pack("<q", NO_ID if doc_id is None else doc_id)
         self.n += 1
+        if doc_id is not None:
+            self.first, self.last = doc_id if self.first is None else self.first, doc_id
 
     def close(self) -> None:
         self.out.write(struct.pack("<II", DOC_INDEX_MAGIC, len(self.ids)) + self.ids)
@@ -114,7 +118,7 @@ def open_file(path: str) -> Reader:
 
 
 def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, doc_id: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
-    """Encode and write all documents; returns the manifest (shard, path, n_docs, n_ids), shards in document order."""
+    """Encode and write all documents; returns the manifest (shard, path, n_docs, n_ids, first_id, last_id), shards in document order."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")
     end = struct.pack("<I", end_id)
@@ -138,7 +142,7 @@ def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "b
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([writer.n], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), *(pa.array([x], pa.int64()) for x in (writer.n, n_ids, writer.first, writer.last))], ["shard", "path", "n_docs", "n_ids", "first_id", "last_id"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
     ordered = rows.repartitionByRange(F.col("d").asc_nulls_first(), "h").sortWithinPartitions(F.col("d").asc_nulls_first(), "h").select("d", "t")
@@ -173,12 +177,20 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
-    """The ids of the few documents asked for; no other frame is decompressed."""
-    found = {}
-    for row in manifest.toLocalIterator():
-        reader = open_file(row["path"])
-        for k, d in enumerate(reader.ids):
-            if d in doc_ids:
-                content = reader.document(k)
-                found[d] = list(struct.unpack(f"<{len(content) // 4}I", content))
+    """The ids of the few documents asked for. Only files whose range holds one are opened, and no other frame is decompressed.
+
+    Of documents with one id the last one counts.
+    """
+    wanted, found = sorted(set(doc_ids)), {}
+    if not wanted:
+        return found
+    near = manifest.filter((F.col("first_id") <= wanted[-1]) & (F.col("last_id") >= wanted[0])).orderBy("shard")
+    for row in near.select("path", "first_id", "last_id").toLocalIterator():
+        some = set(wanted[bisect_left(wanted, row["first_id"]) : bisect_right(wanted, row["last_id"])])
+        if some:
+            reader = open_file(row["path"])
+            for k, d in enumerate(reader.ids):
+                if d in some:
+                    content = reader.document(k)
+                    found[d] = list(struct.unpack(f"<{len(content) // 4}I", content))
     return found

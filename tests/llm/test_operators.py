@@ -255,7 +255,7 @@ def test_lower_bound():
         assert packing.lower_bound(collections.Counter(items), 20) <= least(sorted(items, reverse=True)) <= packing.bins_of(packing.best_fit(collections.Counter(items), 20))
 
 
-def test_token_files(spark, docs, texts, reference_ids):
+def test_token_files(spark, docs, texts, reference_ids, monkeypatch):
     manifest = token_files.write_files(docs)
     got = token_files.read_files(manifest).collect()
     assert len(got) == len(texts)
@@ -268,6 +268,13 @@ def test_token_files(spark, docs, texts, reference_ids):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     assert token_files.read_documents(spark, manifest, [7]) == {7: [*reference_ids(texts[7][1]), 2]}
     assert token_files.read_files(token_files.write_files(empty(spark))).count() == 0
+    opened, open_file = [], token_files.open_file
+    monkeypatch.setattr(token_files, "open_file", lambda p: opened.append(p) or open_file(p))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    several = token_files.write_files(docs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(token_files.read_documents(spark, several, [7, 203, 99_999])) == {7, 203} and len(opened) <= 2 < several.count()
+    assert token_files.read_documents(spark, manifest, []) == {}
 
 
 def test_damaged_frame(tmp_path):
