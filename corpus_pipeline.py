@@ -4,7 +4,7 @@ Every stage takes what its predecessor kept, as written and read back, and works
 all of it. All but the last return the columns of documents. NULL and empty texts fail
 the rules; NULL ids and repeated rows are documents like any other until the third
 stage, which leaves one of those alike; an empty table gives an empty one; columns
-besides those of documents pass through to the last stage.
+besides those of documents pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,14 @@ def whole_rows(docs: DataFrame) -> list:
     return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")]
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, made longer until docs has no such column, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     judged = quality_rules.quality_rules(docs.select("text", "lang", *whole_rows(docs)), keep=["row_"])
@@ -36,8 +44,9 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under MIN_SCORE go. It learns from labelled ones of all documents, as the rules left few bad ones, but for those held out."""
     ship(spark)
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(quality_classifier.teachable()))
-    scored = quality_classifier.score(docs, model, into="quality_score_")
-    return scored.filter(F.col("quality_score_") >= MIN_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
+    into = free_name(docs, "quality_score_")
+    scored = quality_classifier.score(docs, model, into=into)
+    return scored.filter(F.col(into) >= MIN_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +57,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as their source's target gives them, none, one or two."""
-    mixed = mixing.mix(docs, keep=True).filter("copies > 0")
-    return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
+    # a column of the name that the mix adds goes through it under another
+    names = {c: free_name(docs, c) if c.lower() == "copies" else c for c in docs.columns}
+    mixed = mixing.mix(docs.withColumnsRenamed(names), keep=True).filter("copies > 0")
+    mixed = mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return mixed.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
