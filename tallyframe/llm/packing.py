@@ -4,13 +4,13 @@ Documents of one length are interchangeable, so the problem is held as a table o
 counts by length (at most `capacity` rows, whatever the corpus), and a solution as
 patterns of lengths with the number of sequences that follow each. The algorithm
 works on groups, not on items: crossover injects whole well-filled sequences of
-one parent into the other, takes out what is then present twice, and puts
-displaced documents back best-fit, longest first, after swaps of displaced documents
-for shorter ones that fill a sequence better. Islands, one Spark task each,
+one parent into the other, takes out what is then present twice, and puts displaced
+documents back, longest first, with one or two that fill the sequence exactly, or,
+where that takes fewer, best-fit after swaps for shorter ones that fill a sequence better. Islands, one Spark task each,
 evolve populations of their own; after each epoch their elites migrate to the next
 island in the ring. The search ends at a lower bound (total length / capacity, or one
-for every document too long to share a sequence with another such), which plain best-fit
-meets where short documents abound, or after epochs in which no island gains.
+for every document too long to share a sequence with another such), which exact fits
+meet where short documents abound, or after epochs in which no island gains.
 
 Placing the documents is distributed: each gets its rank among those of its length
 (counted by length and hash bucket, so that a length that many documents have is
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyframe.llm.tokens import Encoder
+from tallyframe.llm.batches import slices
+from tallyframe.llm.tokens import TEXTS, Encoder
 from tallyframe.storage import stage
 
 #: Pairs of displaced lengths are looked at where there are no more than these; it is a matter of time, not of the result's validity.
@@ -117,6 +118,41 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
+def exact_fit(counts: dict[int, int], capacity: int) -> Solution:
+    """Bins one after the other: the longest item, then one or two that fill the rest exactly, or the longest that fits and so on.
+
+    Of two the one is as long as can be, so that short ones last. Bins alike are filled together. The sizes at hand
+    are the bits of a number, what they leave of a bin those of another, so a shift finds all pairs at once.
+    """
+    left = {s: n for s, n in counts.items() if n > 0}
+    there, rests = sum(1 << s for s in left), sum(1 << (capacity - s) for s in left)
+    out: Solution = defaultdict(int)
+
+    def take(s: int, n: int) -> None:
+        nonlocal there, rests
+        left[s] -= n
+        if not left[s]:
+            there ^= 1 << s
+            rests ^= 1 << (capacity - s)
+
+    while there:
+        p, room = (), capacity
+        while (s := (there & ((2 << room) - 1)).bit_length() - 1) > 0:
+            if p and s < room:
+                pairs = there & (rests >> (capacity - room)) & ((1 << room) - 2)
+                one = pairs.bit_length() - 1
+                if pairs and (2 * one != room or left[one] > 1):
+                    s = one
+            p, room = (*p, s), room - s
+            take(s, 1)
+        need = Counter(p)
+        if n := min(left[s] // k for s, k in need.items()):
+            for s, k in need.items():
+                take(s, k * n)
+        out[p] += n + 1
+    return dict(out)
+
+
 def _swap(bins: Counter, free: dict[int, int], capacity: int) -> None:
     """Displaced items, one or two together, take the place of a shorter item of a bin, as far as this fills the bin better. Both are changed."""
     for p, n in sorted(bins.items(), key=lambda x: sum(x[0])):
@@ -148,7 +184,7 @@ def _swap(bins: Counter, free: dict[int, int], capacity: int) -> None:
 
 
 def _insert(keep: list[tuple[Pattern, int]], counts: dict[int, int], capacity: int) -> Solution:
-    """As many of each listed bin as the items still free allow, and the other items best-fit into them."""
+    """As many of each listed bin as the items still free allow, and the other items in bins of their own or best-fit into them, whichever are fewer."""
     free, kept = dict(counts), Counter()
     for p, n in keep:
         need = Counter(p)
@@ -157,52 +193,63 @@ def _insert(keep: list[tuple[Pattern, int]], counts: dict[int, int], capacity: i
             kept[p] += n
             for s, k in need.items():
                 free[s] -= k * n
-    _swap(kept, free, capacity)
-    return best_fit({s: n for s, n in free.items() if n}, capacity, {p: n for p, n in kept.items() if n})
+    free = {s: n for s, n in free.items() if n}
+    new, unfilled = exact_fit(free, capacity), {p: n for p, n in kept.items() if sum(p) < capacity}
+    if unfilled:
+        swapped = Counter(unfilled)
+        _swap(swapped, free, capacity)
+        other = best_fit({s: n for s, n in free.items() if n}, capacity, {p: n for p, n in swapped.items() if n})
+        if bins_of(other) < bins_of(new) + bins_of(unfilled):
+            kept, new = Counter({p: n for p, n in kept.items() if p not in unfilled}), other
+    kept.update(new)
+    return dict(kept)
 
 
 def crossover(a: Solution, b: Solution, counts: dict[int, int], capacity: int, rng: random.Random) -> Solution:
-    """Well-filled bins of a are injected into b; b's bins that hold items used twice fall away."""
+    """Well-filled bins of a are injected into b; b's bins that hold items used twice fall away, and of the others some."""
     full = sorted(a.items(), key=lambda x: -sum(x[0]))
-    cut = capacity - rng.choice((0, 1, 4, 16, 64, 256))
-    injected = [(p, n if rng.random() < 0.5 else rng.randint(0, n)) for p, n in full if sum(p) >= cut and rng.random() < 0.7]
-    rest = sorted(b.items(), key=lambda x: (-sum(x[0]), rng.random()))
+    cut, share = capacity - rng.choice((0, 0, 0, 1, 4, 16, 64, 256)), rng.choice((0.3, 0.5, 0.7, 0.9))
+    injected = [(p, n if rng.random() < 0.7 else rng.randint(0, n)) for p, n in full if sum(p) >= cut and rng.random() < share]
+    rest = sorted(((p, n) for p, n in b.items() if sum(p) >= cut and rng.random() < share), key=lambda x: (-sum(x[0]), rng.random()))
     return _insert([x for x in injected if x[1]] + rest, counts, capacity)
 
 
 def mutate(a: Solution, counts: dict[int, int], capacity: int, rng: random.Random) -> Solution:
-    """The worst-filled bins and a few others are dissolved."""
-    worst = sorted(a.items(), key=lambda x: sum(x[0]))
-    gone = max(1, int(len(worst) * rng.choice((0.05, 0.1, 0.3))))
-    keep = [(p, n) for p, n in worst[gone:] if rng.random() > 0.05]
-    return _insert(keep[::-1], counts, capacity)
+    """The worse-filled bins and many others are dissolved."""
+    cut, share = capacity - rng.choice((0, 0, 0, 1, 4, 16, 64, 256)), rng.choice((0.3, 0.5, 0.7, 0.9))
+    full = sorted(a.items(), key=lambda x: -sum(x[0]))
+    return _insert([(p, n if rng.random() < 0.7 else rng.randint(0, n)) for p, n in full if sum(p) >= cut and rng.random() < share], counts, capacity)
+
+
+def rank(solution: Solution, capacity: int) -> tuple[int, float]:
+    """Fewer bins first, then by fitness."""
+    return -bins_of(solution), fitness(solution, capacity)
 
 
 def evolve(counts: dict[int, int], capacity: int, start: list[Solution], search: Search, rng: random.Random, bound: int) -> list[Solution]:
     """One island's epoch; best first."""
-    pop = list(start) or [best_fit(counts, capacity)]
+    pop = list(start) or [exact_fit(counts, capacity)]
     while len(pop) < search.population:
         order = sorted(counts, key=lambda s: -s * rng.uniform(0.7, 1.3))
         pop.append(best_fit(counts, capacity, None, order))
-    score = lambda x: fitness(x, capacity)
-    pop.sort(key=score, reverse=True)
-    for _ in range(search.generations):
-        if bins_of(pop[0]) <= bound:
+    pop = sorted(((rank(x, capacity), i, x) for i, x in enumerate(pop)), reverse=True)
+    for i in range(search.generations):
+        if -pop[0][0][0] <= bound:
             break
-        child = crossover(*rng.sample(pop, 2), counts, capacity, rng) if len(pop) > 1 and rng.random() < 0.7 else mutate(rng.choice(pop), counts, capacity, rng)
-        pop = sorted([*pop, child], key=score, reverse=True)[: search.population]
-    return pop
+        child = crossover(*(x for _, _, x in rng.sample(pop, 2)), counts, capacity, rng) if len(pop) > 1 and rng.random() < 0.5 else mutate(rng.choice(pop)[2], counts, capacity, rng)
+        pop = sorted([*pop, (rank(child, capacity), search.population + i + len(start), child)], reverse=True)[: search.population]
+    return [x for _, _, x in pop]
 
 
 def pack_lengths(spark, counts: dict[int, int], capacity: int, search: Search = Search()) -> Solution:
     """The best solution that the islands find for a table of counts by length."""
     bound = lower_bound(counts, capacity)
-    plain = best_fit(counts, capacity)
-    if bins_of(plain) <= bound or len(counts) < 2:
-        return plain
-    elites: dict[int, list[Solution]] = {i: [plain] for i in range(search.islands)}
-    best, epoch, idle = plain, 0, 0
-    rank = lambda x: (-bins_of(x), fitness(x, capacity))
+    plain, better = best_fit(counts, capacity), lambda x: rank(x, capacity)
+    best = max(exact_fit(counts, capacity), plain, key=better)
+    if bins_of(best) <= bound or len(counts) < 2:
+        return best
+    elites: dict[int, list[Solution]] = {i: [best] for i in range(search.islands)}
+    epoch, idle = 0, 0
     while idle < search.patience:
         seeds = {i: json.dumps([list(x.items()) for x in elites[i]]) for i in elites}
 
@@ -216,9 +263,9 @@ def pack_lengths(spark, counts: dict[int, int], capacity: int, search: Search =
 
         rows = spark.range(0, search.islands, 1, search.islands).mapInArrow(island, "island long, found string").collect()
         found = {r["island"]: [{tuple(p): n for p, n in x} for x in json.loads(r["found"])] for r in rows}
-        champion = max((x for xs in found.values() for x in xs), key=rank)
+        champion = max((x for xs in found.values() for x in xs), key=better)
         epoch, idle = epoch + 1, 0 if bins_of(champion) < bins_of(best) else idle + 1
-        best = max(best, champion, key=rank)
+        best = max(best, champion, key=better)
         if bins_of(best) <= bound:
             break
         elites = {i: [*found[i], *found[(i - 1) % search.islands][: search.elites]] for i in found}
@@ -291,8 +338,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part, rows = batch.slice(i, 2048), []
+            for part in slices(batch, 1, TEXTS):
+                rows = []
                 for d, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     cuts = [0, *range(len(ids) % step or step, len(ids), step), len(ids)]

@@ -2,8 +2,9 @@
 
 A byte-level pre-tokenizer never joins text across a lone space or newline
 between two other characters, so a text is cut there and each distinct piece is
-encoded once per worker. Pieces are kept up to CACHE_PIECES; texts with any other
-white space are encoded whole. Either way the ids are those of one encode call.
+encoded once per worker; texts are cut, and their ids put together, many at once.
+Pieces are kept up to CACHE_PIECES; texts with any other white space are encoded
+whole. Either way the ids are those of one encode call.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import re
 import string
 import struct
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by a worker in each of two generations, about 200 bytes each.
 CACHE_PIECES = 400_000
+#: Texts that callers pass at once, at most.
+TEXTS = 4096
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACED = ("  ", " \n", "\n ", "\n\n")
 #: A run of these after a word of letters is a token run of its own.
@@ -43,7 +47,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        #: By id, whether its token begins with a space or a newline, in the byte-level alphabet.
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] in "ĠĊ" or i == newline]] = True
         self.inner: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -59,59 +66,74 @@ class Encoder:
         found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that follow a space. Words are joined by a newline, which is one id by itself, and cut apart again."""
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each begin with the one space or newline they have. They are encoded in a row and cut apart where a token begins so."""
         out: list[bytes] = []
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.newline)
-            raw, begins, ends = ids.tobytes(), (np.r_[0, ends + 1] * 4).tolist(), (np.r_[ends, len(ids)] * 4).tolist()
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, begins = ids.tobytes(), (np.flatnonzero(self.begins[ids]) * 4).tolist()
             if len(begins) != len(some):
-                return self._encode([" " + w for w in words])
-            out += [raw[a:b] for a, b in zip(begins, ends, strict=True)]
+                return self._encode(pieces)
+            out += [raw[a:b] for a, b in zip(begins, [*begins[1:], len(raw)], strict=True)]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Make inner hold all pieces: from the older generation, from a known word and its closing punctuation, or encoded anew."""
         if len(self.inner) > CACHE_PIECES:
             self.older, self.inner, self.tails = self.inner, {}, {}
         known, older, tails = self.inner, self.older, self.tails
-        new = []
+        cut, words, lines, ends = [], {}, [], set()
         for p in pieces:
-            if p not in known:
-                if (ids := older.get(p)) is not None:
-                    known[p] = ids
-                else:
-                    new.append(p)
-        lines = [p for p in new if "\n" in p or not p]
-        known.update(zip(lines, self._encode([p if p[:1] == "\n" else " " + p for p in lines]), strict=True))
-        cut, words, ends = [], set(), set()
-        for p in new:
-            if "\n" not in p and p:
+            if p in known:
+                continue
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif p.isalpha():
+                words[p] = None
+            elif p[:1] == "\n":
+                lines.append(p)
+            else:
                 word = p.rstrip(PUNCTUATION)
                 if len(word) < len(p) and word.isalpha():
                     cut.append((p, word, p[len(word) :]))
-                    words.add(word)
+                    words[word] = None
                     ends.add(p[len(word) :])
                 else:
-                    words.add(p)
+                    words[p] = None
         words = [w for w in words if w not in known]
-        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(words + lines, self._pieces([" " + w for w in words] + lines), strict=True))
         ends = [e for e in ends if e not in tails]
         tails.update(zip(ends, self._encode(ends), strict=True))
         known.update((p, known[w] + tails[e]) for p, w, e in cut)
 
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut. The first piece of each is taken as a line, whose newline is then left out."""
+        pieces = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded, bounds = pieces.flatten().dictionary_encode(), pieces.offsets.to_numpy().astype(np.int64)
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        found = list(map(self.inner.__getitem__, distinct))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, code = np.cumsum(n) - n, coded.indices.to_numpy(zero_copy_only=False)
+        at, n = at[code], n[code]
+        at[bounds[:-1]] += 1
+        n[bounds[:-1]] -= 1
+        ends = np.cumsum(n)
+        raw = np.frombuffer(b"".join(found), "<u4")[np.repeat(at - ends + n, n) + np.arange(ends[-1])].tobytes()
+        stops = (ends[bounds[1:] - 1] * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """NULL counts as empty."""
         texts = [t or "" for t in texts]
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not _cuttable(t, self.special)]
+        whole, cut = [], []
+        for i, t in enumerate(texts):
+            (cut if _cuttable(t, self.special) else whole).append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        cut = {i: texts[i].replace("\n", " \n").split(" ") for i in range(len(texts)) if out[i] is None}
-        self._learn(set(chain.from_iterable(p[1:] for p in cut.values())))
-        at = self.inner.__getitem__
-        for (i, pieces), first in zip(cut.items(), self._encode([p[0] for p in cut.values()]), strict=True):
-            out[i] = first + b"".join(map(at, pieces[1:]))
+        if cut:
+            for i, ids in zip(cut, self._cut([texts[i] for i in cut]), strict=True):
+                out[i] = ids
         return out

@@ -175,6 +175,24 @@ def test_encoder(texts, reference_ids):
     assert reference_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
+def test_encoder_puts_pieces_in_a_row(reference_ids):
+    """Lines and words go to the tokenizer many at once, each distinct one a single time, and texts get the ids of plain calls."""
+    texts = [f"Line{'abcdefghij'[i % 10] * (i % 7)} word{i % 5}, 's\nLine{i}'s end.### {i} \u00e9t\u00e9\n'll" for i in range(300)]
+    encoder, calls = tokens.Encoder(tokens.vocabulary()), []
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            calls.extend(some)
+            return plain.encode_batch_fast(some, **options)
+
+    plain, encoder.tokenizer = encoder.tokenizer, Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [reference_ids(t) for t in texts]
+    assert len(calls) < 20
+    calls.clear()
+    encoder.encode(texts)
+    assert calls in ([], [""])
+
+
 def test_packing(spark, docs, texts, reference_ids):
     got = packing.pack_documents(docs, 256).collect()
     by_doc = collections.defaultdict(list)
@@ -238,6 +256,21 @@ def test_genetic_search_beats_best_fit(spark):
     assert sum(len(p) * n for p, n in a.items()) == sum(counts.values())
 
 
+def test_exact_fit_meets_the_bound_without_a_search():
+    """Lengths as those of documents, where best-fit needs more sequences: no Spark task is needed."""
+    rng = random.Random(1)
+    counts = collections.Counter(min(2048, 40 + int(rng.expovariate(1 / 600))) for _ in range(20_000))
+    bound = packing.lower_bound(counts, 2048)
+    assert packing.bins_of(packing.best_fit(counts, 2048)) > bound
+    found = packing.pack_lengths(None, counts, 2048)
+    used = collections.Counter()
+    for p, n in found.items():
+        assert sum(p) <= 2048
+        used.update({s: k * n for s, k in collections.Counter(p).items()})
+    assert used == counts and packing.bins_of(found) == bound
+    assert packing.exact_fit({}, 10) == {} and packing.exact_fit({5: 3}, 10) == {(5, 5): 1, (5,): 1}
+
+
 def test_lower_bound():
     """Never above the least number of bins, found by trying all; large items that exclude each other are seen."""
     assert packing.lower_bound({60: 10}, 100) == 10 and packing.lower_bound({70: 3, 40: 2, 30: 3}, 100) == 4
