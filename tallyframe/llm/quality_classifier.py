@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.batches import slices
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -76,6 +78,10 @@ class Sizes:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         return np.array([(len(self.good.compress(b)), len(self.bad.compress(b)), len(b)) for b in raw], float).reshape(-1, 3)
 
+    def of_batch(self, batch: pa.RecordBatch, column: int) -> np.ndarray:
+        """Of a column of texts, of which few are held as Python's at a time."""
+        return np.concatenate([np.zeros((0, 3)), *(self.of(part.column(column).to_pylist()) for part in slices(batch, column, 256))])
+
 
 def features(measured: np.ndarray) -> np.ndarray:
     good, bad, plain = measured.T
@@ -140,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
         sizes = model.sizes()
         for batch in batches:
             if batch.num_rows:
-                got = sizes.of(batch.column(0).to_pylist())
+                got = sizes.of_batch(batch, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in got.T] + [batch.column(1)], ["good", "bad", "plain", "y"])
 
     rest = known.filter("not teach").select("t", "y").mapInArrow(measure, "good double, bad double, plain double, y int").toPandas()
@@ -168,8 +174,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         own = shared.value
         sizes, at = (own.sizes() if own.weights else None), names.index(text)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            got = own.scores(sizes.of(texts) if sizes else np.zeros((len(texts), 3)))
+            got = own.scores(sizes.of_batch(batch, at) if sizes else np.zeros((batch.num_rows, 3)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])

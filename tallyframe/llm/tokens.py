@@ -18,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept by a worker in each of two generations, about 200 bytes each.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 320_000
 #: Texts that callers pass at once, at most.
-TEXTS = 4096
+TEXTS = 2048
+#: Texts whose ids are put together at once.
+GATHERED = 128
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACED = ("  ", " \n", "\n ", "\n\n")
 #: A run of these after a word of letters is a token run of its own.
@@ -110,19 +112,29 @@ class Encoder:
     def _cut(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that may be cut. The first piece of each is taken as a line, whose newline is then left out."""
         pieces = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        coded, bounds = pieces.flatten().dictionary_encode(), pieces.offsets.to_numpy().astype(np.int64)
+        coded, bounds = pieces.flatten().dictionary_encode(), pieces.offsets.to_numpy()
+        del pieces
         distinct = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        del coded
+        pa.default_memory_pool().release_unused()
         self._learn(distinct)
         found = list(map(self.inner.__getitem__, distinct))
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, code = np.cumsum(n) - n, coded.indices.to_numpy(zero_copy_only=False)
-        at, n = at[code], n[code]
-        at[bounds[:-1]] += 1
-        n[bounds[:-1]] -= 1
-        ends = np.cumsum(n)
-        raw = np.frombuffer(b"".join(found), "<u4")[np.repeat(at - ends + n, n) + np.arange(ends[-1])].tobytes()
-        stops = (ends[bounds[1:] - 1] * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
+        del distinct, found
+        out: list[bytes] = []
+        for i in range(0, len(texts), GATHERED):
+            own = bounds[i : i + GATHERED + 1]
+            some, firsts = code[own[0] : own[-1]], own[:-1] - own[0]
+            at, n = starts[some], lengths[some]
+            at[firsts] += 1
+            n[firsts] -= 1
+            ends = np.cumsum(n)
+            raw = pool[np.repeat(at - ends + n, n) + np.arange(ends[-1])].tobytes()
+            stops = (ends[own[1:] - own[0] - 1] * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """NULL counts as empty."""

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,15 @@ def test_genetic_search_beats_best_fit(spark):
     assert sum(len(p) * n for p, n in a.items()) == sum(counts.values())
 
 
+def test_classifier_holds_few_texts_at_a_time(monkeypatch):
+    sizes, held = quality_classifier.Sizes(b"good words of a text", b"bad ### words", 3), []
+    batch = pa.RecordBatch.from_pydict({"text": [None, *(f"text {i} " * (i % 9) for i in range(2000))]})
+    want, plain = sizes.of(batch.column(0).to_pylist()), quality_classifier.Sizes.of
+    monkeypatch.setattr(quality_classifier.Sizes, "of", lambda self, texts: held.append(len(texts)) or plain(self, texts))
+    assert (sizes.of_batch(batch, 0) == want).all() and sum(held) == 2001 and max(held) <= 256
+    assert sizes.of_batch(batch.slice(0, 0), 0).shape == (0, 3)
+
+
 def test_exact_fit_meets_the_bound_without_a_search():
     """Lengths as those of documents, where best-fit needs more sequences: no Spark task is needed."""
     rng = random.Random(1)
