@@ -72,6 +72,13 @@ def best_words(counted: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter(F.col("r") <= n)
 
 
+def least_counts(counted: DataFrame, n: int) -> DataFrame:
+    """g and least_, the count of the n-th most common word of a language; languages of fewer words have no row."""
+    per = counted.groupBy("g", "n").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.partitionBy("g").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    return stage(per.withColumn("run", F.sum("k").over(down)).filter(F.col("run") >= n).groupBy("g").agg(F.max("n").alias("least_")), "least-counts")
+
+
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """Gather the references from all documents: a row a language and the pooled one, with lang_ (POOLED for the latter),
     class_ref_ (class shares), word_ref_ (common words by rank) and share_ref_ (their shares, the last one of all other words).
@@ -103,8 +110,14 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     totals = counted.groupBy("g").agg(F.sum("n").alias("total"))
     totals = totals.filter(F.col("g") != POOLED).unionByName(totals.agg(F.sum("total").alias("total")).select(F.lit(POOLED).alias("g"), "total"))
     pooled = counted.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("g"), "w", "n")
-    lettered = counted.filter(F.col("g") != POOLED).unionByName(pooled).filter(F.col("w").rlike(r"\p{L}"))
-    best = best_words(lettered, rules.common_words).join(totals, "g")
+    lettered = F.col("w").rlike(r"\p{L}")
+    own = counted.filter((F.col("g") != POOLED) & lettered)
+    # only words as common as the last one listed are put in order; in all languages together that count is no less than in any one
+    least = least_counts(own, rules.common_words)
+    own = sized_join(own, least, "g", "left", BROADCAST_LANGUAGES).filter(F.col("n") >= F.coalesce("least_", F.lit(0))).drop("least_")
+    most = least.agg(F.coalesce(F.max("least_"), F.lit(0)).alias("most_"))
+    pooled = pooled.filter(lettered).crossJoin(F.broadcast(most)).filter("n >= most_").drop("most_")
+    best = best_words(own.unionByName(pooled), rules.common_words).join(totals, "g")
     listed = best.groupBy(F.col("g").alias("lang_")).agg(F.sort_array(F.collect_list(F.struct("r", "w", (F.col("n") / F.col("total")).alias("q")))).alias("best"))
     others = F.greatest(F.lit(0.0), 1 - F.aggregate("best", F.lit(0.0), lambda s, x: s + x["q"]))
     listed = listed.select("lang_", F.col("best.w").alias("word_ref_"), F.concat(F.col("best.q"), F.array(others)).alias("share_ref_"))
@@ -139,8 +152,12 @@ def repeated_windows(df: DataFrame) -> DataFrame:
     """
     w = F.col("words_")
     df = df.withColumn("bits_", F.when(F.col("n_words") > 1 << 24, F.lit(32)).otherwise(F.lit(24)))
-    place = lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), F.col("bits_")).bitwiseOR(i.cast("long"))
-    df = df.withColumn("keys_", F.sort_array(F.slice(F.transform(w, place), 1, F.greatest(F.lit(0), F.size(w) - 2))))
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    df = df.withColumn("hashes_", F.slice(hashes, 1, F.greatest(F.lit(0), F.size(w) - 2)))
+    place = lambda x, i: F.call_function("shiftleft", x, F.col("bits_")).bitwiseOR(i.cast("long"))
+    # most texts say nothing twice, and need no order
+    twice = F.size(F.array_distinct("hashes_")) < F.size("hashes_")
+    df = df.withColumn("keys_", F.when(twice, F.sort_array(F.transform("hashes_", place))).otherwise(F.array().cast("array<bigint>"))).drop("hashes_")
     s = F.col("keys_")
     alike = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits_")) == 0
     df = df.withColumn("pairs_", F.filter(F.transform(s, lambda x, j: F.when(alike(x, F.get(s, j + 1)), j)), lambda j: j.isNotNull()))
@@ -180,9 +197,13 @@ def judged(df: DataFrame, ref: DataFrame, rules: Rules = Rules()) -> DataFrame:
     some = (size > 0) & (n >= rules.min_word_count)
     said = F.regexp_extract_all("text_", common_pattern(F.col("word_ref_")), F.lit(0))
     df = df.withColumn("found_", F.when(some, said).otherwise(F.array().cast("array<string>"))).withColumn("n_found_", F.size("found_"))
-    # each word between spaces of its own: what is gone without a word tells how often it was there
+    # each word between spaces of its own: the bytes gone with a word tell how often it was there, and the next has less to go through
     df = df.withColumn("found_", F.concat(F.lit(" "), F.array_join("found_", "  "), F.lit(" ")))
-    hits = F.transform("word_ref_", lambda w: (F.length("found_") - F.length(F.replace(F.col("found_"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2) / n)
+    rest = lambda s, w: F.replace(s["rest"], F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
+    without = lambda s, w: F.struct(rest(s, w).alias("rest"), F.concat(s["left"], F.array(F.octet_length(s["rest"]))).alias("left"))
+    gone = F.aggregate("word_ref_", F.struct(F.col("found_").alias("rest"), F.array().cast("array<int>").alias("left")), without, lambda s: F.concat(s["left"], F.array(F.octet_length(s["rest"]))))
+    df = df.withColumn("left_", gone)
+    hits = F.transform("word_ref_", lambda w, i: (F.get("left_", i) - F.get("left_", i + 1)) / (F.octet_length(w) + 2) / n)
     own = F.concat(hits, F.array(1.0 - F.col("n_found_") / n))
     df = df.withColumn("word_distance", F.when(n >= rules.min_word_count, js_distance(own, F.col("share_ref_"))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))

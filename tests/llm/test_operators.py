@@ -266,6 +266,12 @@ def test_classifier_holds_few_texts_at_a_time(monkeypatch):
     assert sizes.of_batch(batch.slice(0, 0), 0).shape == (0, 3)
 
 
+def test_rules_order_only_words_as_common_as_the_last_listed(spark):
+    rows = [("a", f"w{i}", 10 - i) for i in range(6)] + [("b", "x", 1), ("b", "y", 1)] + [("c", f"w{i}", 5) for i in range(4)]
+    least = quality_rules.least_counts(spark.createDataFrame(rows, "g string, w string, n long"), 3)
+    assert sorted((r.g, r.least_) for r in least.collect()) == [("a", 8), ("c", 5)]
+
+
 def test_exact_fit_meets_the_bound_without_a_search():
     """Lengths as those of documents, where best-fit needs more sequences: no Spark task is needed."""
     rng = random.Random(1)
